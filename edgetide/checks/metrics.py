@@ -1,0 +1,158 @@
+"""Checks of counters, histograms, intervals and edge audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from edgetide.checks import query
+from edgetide.checks.views import accesses, extended_lines, probes, records
+from edgetide.functions import fixed_values as fixed
+from edgetide.operators import audits, counters, traffic
+from edgetide.sources import access_logs
+
+c = F.col
+
+
+def r6(name):
+    return F.round(c(name), 6).alias(name)
+
+
+def _parsed(spark, d):
+    """Records through the extended parser and the request split."""
+    lines = extended_lines(spark, d).select("value")
+    return access_logs.split_request(access_logs.parse_extended(lines))
+
+
+@query("requests_total_a10", """SELECT method, status, cache_status, cdn_region,
+    count(*) AS requests FROM accesses GROUP BY ALL""")
+def requests_total(spark, d):
+    return counters.requests_total(_parsed(spark, d))
+
+
+@query("bytes_total_a11", """SELECT method, status, cache_status, CAST(sum(size) AS BIGINT)
+    AS bytes_sent FROM accesses GROUP BY ALL""")
+def bytes_total(spark, d):
+    return counters.bytes_total(_parsed(spark, d))
+
+
+def histogram_sql(labels: str, value: str) -> str:
+    bounds = ", ".join(f"('{b}', {b}::DOUBLE)" for b in fixed.HISTOGRAM_BOUNDS)
+    return f"""
+    WITH bounds(le, b) AS (VALUES {bounds}, ('+Inf', 'Infinity'::DOUBLE)),
+    wide AS (SELECT {labels}, list({value}) AS v, coalesce(count({value}), 0) AS n,
+      round(sum({value}), 6) AS s FROM accesses GROUP BY ALL)
+    SELECT {labels}, le, CAST(len(list_filter(v, lambda x: x <= b)) AS BIGINT) AS bucket,
+      s AS value_sum, n AS value_count FROM wide, bounds"""
+
+
+@query("duration_histogram_a12", histogram_sql("method, status, cache_status", "request_time"))
+def duration_histogram(spark, d):
+    return counters.duration_histogram(_parsed(spark, d)).withColumn(
+        "value_sum", F.round("value_sum", 6))
+
+
+@query("latency_histogram_a13", histogram_sql("method, status, cdn_region", "lat").replace(
+    "list(lat)", "list(lat) FILTER (lat IS NOT NULL)").replace("len(list_filter(v", "len(list_filter(coalesce(v, [])"))
+def latency_histogram(spark, d):
+    return counters.latency_histogram(_parsed(spark, d)).withColumn(
+        "value_sum", F.round("value_sum", 6))
+
+
+@query("status_total_a14", """SELECT method, status, path, count(*) AS requests
+    FROM accesses GROUP BY ALL""")
+def status_total(spark, d):
+    return counters.status_total(_parsed(spark, d))
+
+
+@query("cache_status_total_a15", """SELECT method, status, cache_status, cdn_region,
+    count(*) AS requests FROM accesses GROUP BY ALL""")
+def cache_status_total(spark, d):
+    return counters.cache_status_total(_parsed(spark, d))
+
+
+@query("cache_requests_a16", """SELECT cache_status, cdn_region, method,
+    count(*) AS requests FROM accesses GROUP BY ALL""")
+def cache_requests(spark, d):
+    return counters.cache_requests(_parsed(spark, d))
+
+
+@query("hit_ratio_a16", """SELECT cdn_region, method, count(*) FILTER (cache_status = 'HIT') AS hits,
+    count(*) AS requests, round(count(*) FILTER (cache_status = 'HIT') / count(*), 6) AS hit_ratio
+    FROM accesses GROUP BY ALL""")
+def hit_ratio(spark, d):
+    return counters.hit_ratio(records(spark, d)).withColumn("hit_ratio", F.round("hit_ratio", 6))
+
+
+@query("interval_samples_x3", """SELECT time_bucket(INTERVAL '10 seconds', ts) AS window_start,
+    cdn_region, status, count(*) AS requests FROM accesses GROUP BY ALL""")
+def interval_samples(spark, d):
+    return counters.sampled(records(spark, d), ["cdn_region", "status"])
+
+
+@query("sliding_rate_x4", """
+    WITH steps AS (SELECT time_bucket(INTERVAL '1 minute', ts) AS s, cdn_region, count(*) AS n
+      FROM accesses GROUP BY ALL)
+    SELECT s - to_minutes(CAST(m AS INTEGER)) AS window_start, cdn_region,
+      CAST(sum(n) AS BIGINT) AS requests, round(sum(n) / 300.0, 6) AS per_second
+    FROM steps, (SELECT unnest(range(5)) AS m) GROUP BY ALL""")
+def sliding_rate(spark, d):
+    return counters.sliding_rate(records(spark, d), ["cdn_region"]).withColumn(
+        "per_second", F.round("per_second", 6))
+
+
+@query("residency_sessions_x5", """
+    WITH marked AS (SELECT *, ts >= lag(ts) OVER w + INTERVAL '1 hour' AS fresh FROM accesses
+      WINDOW w AS (PARTITION BY cdn_region, file_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (
+      PARTITION BY cdn_region, file_id ORDER BY ts) AS s FROM marked)
+    SELECT cdn_region, file_id, min(ts) AS session_start, max(ts) AS last_access,
+      count(*) AS accesses FROM numbered GROUP BY cdn_region, file_id, s""")
+def residency_sessions(spark, d):
+    return audits.residency(accesses(spark, d), 3600).select(
+        "cdn_region", "file_id", "session_start", "last_access", "accesses")
+
+
+@query("residency_sessions_week_x5", """
+    WITH marked AS (SELECT *, ts >= lag(ts) OVER w + INTERVAL '7 days' AS fresh FROM accesses
+      WINDOW w AS (PARTITION BY cdn_region, file_id ORDER BY ts)),
+    numbered AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (
+      PARTITION BY cdn_region, file_id ORDER BY ts) AS s FROM marked)
+    SELECT cdn_region, file_id, min(ts) AS session_start, max(ts) AS last_access,
+      count(*) AS accesses FROM numbered GROUP BY cdn_region, file_id, s""")
+def residency_sessions_week(spark, d):
+    return audits.residency(accesses(spark, d), fixed.RESIDENCY_SECONDS["media"]).select(
+        "cdn_region", "file_id", "session_start", "last_access", "accesses")
+
+
+@query("freshness_x6", """
+    WITH prev AS (SELECT event_id, cdn_region, file_id, lag(status) OVER w AS prev_status,
+      (epoch_us(ts) - epoch_us(lag(ts) OVER w)) / 1e6 AS age FROM accesses
+      WINDOW w AS (PARTITION BY cdn_region, file_id ORDER BY ts, event_id))
+    SELECT event_id, prev_status, round(age, 6) AS age_seconds, age > CASE prev_status WHEN 200 THEN 2592000
+      WHEN 304 THEN 2592000 WHEN 404 THEN 60 END AS stale FROM prev WHERE prev_status IS NOT NULL""")
+def freshness(spark, d):
+    return audits.freshness(accesses(spark, d), "event_id", "media").select(
+        "event_id", "prev_status", F.round("age_since_last_access", 6).alias("age_seconds"), "stale")
+
+
+@query("over_rate_x7", """SELECT ip, date_trunc('minute', ts) AS slot, count(*) AS requests
+    FROM accesses GROUP BY ALL HAVING count(*) > 1""")
+def over_rate(spark, d):
+    """The audit with a lower rate and a longer slot, so that the sparse trace exceeds it."""
+    return audits.over_rate(accesses(spark, d), rate=1, burst=0, slot="1 minute")
+
+
+@query("over_rate_zones_x7")
+def over_rate_zones(spark, d):
+    """Clients per second and zone beside the zone's own limit (none is exceeded here)."""
+    rows = accesses(spark, d)
+    found = audits.over_rate(rows, *fixed.RATE_ZONES["media"])
+    return rows.agg(F.count("*").alias("requests")).withColumn(
+        "violations", found.select(F.count("*")).scalar())
+
+
+@query("availability_a33", """SELECT time_bucket(INTERVAL '30 seconds', ts) AS slot, count(*) AS probes,
+    round(avg(CASE WHEN status_code = '200' THEN 1.0 ELSE 0.0 END), 6) AS available
+    FROM probes GROUP BY ALL""")
+def availability(spark, d):
+    return traffic.availability(probes(spark, d)).withColumn("available", F.round("available", 6))

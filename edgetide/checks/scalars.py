@@ -212,7 +212,7 @@ def count_or_age_estimate(spark, d):
 
 
 @query("underscore_count_p19", """
-    SELECT event_id, length(file_id) - length(replace(file_id, '_', '')) AS underscores
+    SELECT event_id, CAST(length(file_id) - length(replace(file_id, '_', '')) AS INTEGER) AS underscores
     FROM accesses""")
 def underscore_count(spark, d):
     return accesses(spark, d).select("event_id", paths.underscores(c("file_id")).alias("underscores"))

@@ -21,61 +21,70 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def _fields(lines: DataFrame, line: str, pattern: str, groups: int, marker: str) -> DataFrame:
+    """Lines that match ``pattern``, with its groups as the array ``f``.
+
+    One replace puts all groups behind separators; a line that does not match stays in
+    one piece and is dropped.  The explode of a one-element array keeps later filters
+    from repeating the pattern below it.  Edges escape control characters in their
+    logs, so the separator is not part of a field.
+    """
+    others = [c for c in lines.columns if c != line]
+    joined = _SEP.join(f"${i}" for i in range(1, groups + 1))
+    fields = F.split(F.regexp_replace(F.col(line), pattern, joined), _SEP)
+    return (lines.filter(F.col(line).contains(marker))
+            .select(*others, F.explode(F.array(fields)).alias("f"))
+            .filter(F.size("f") == groups))
+
+
+_SEP = "\u0001"
+
+
+def _f(i: int) -> Column:
+    return F.get("f", F.lit(i))
+
+
 def parse_plain(lines: DataFrame, strip_query: bool = False, line: str = "value") -> DataFrame:
     """Plain access-log lines to typed rows.
 
     Lines that do not match, whose path is not media, or whose time does not parse
-    are dropped.  A cheap text test runs ahead of the pattern, and one replace gives
-    all groups.  Other columns of ``lines`` are kept.
+    are dropped.  Other columns of ``lines`` are kept.
     """
     others = [c for c in lines.columns if c != line]
-    fields = F.split(F.regexp_replace(F.col(line), fixed.PLAIN_LINE + ".*$", _joined(8)), _SEP)
-    parsed = (lines
-              .filter(F.col(line).contains(" HTTP/") & F.col(line).rlike(fixed.PLAIN_LINE))
-              .select(*others, fields.alias("f")))
-    path = F.col("f")[3]
-    instant = F.try_to_timestamp(F.col("f")[1], F.lit(fixed.LOG_TIME_FORMAT))
+    parsed = _fields(lines, line, fixed.PLAIN_LINE + ".*$", 8, " HTTP/")
+    path = _f(3)
+    instant = F.try_to_timestamp(_f(1), F.lit(fixed.LOG_TIME_FORMAT))
     return (parsed
-            .select(*others, F.col("f")[0].alias("ip"), utc(instant).alias("ts"),
-                    path.alias("url"), paths.object_id(path).alias("file_id"),
+            .select(*others, _f(0).alias("ip"), utc(instant).alias("ts"), path.alias("url"),
+                    paths.object_id(path).alias("file_id"),
                     paths.media_type(path, strip_query).alias("file_type"),
-                    F.col("f")[4].cast("int").alias("status"),
-                    F.col("f")[5].cast("bigint").alias("size"),
-                    F.col("f")[6].alias("referrer"), F.col("f")[7].alias("user_agent"))
+                    _f(4).try_cast("int").alias("status"),
+                    _f(5).try_cast("bigint").alias("size"),
+                    _f(6).alias("referrer"), _f(7).alias("user_agent"))
             .filter((F.col("file_type") != "other") & F.col("ts").isNotNull()))
 
 
-_SEP = "\u0001"
-
-
-def _joined(n: int) -> str:
-    return _SEP.join(f"${i}" for i in range(1, n + 1))
-
-
-def parse_extended(lines: DataFrame, line: str = "value", region_from: Column | None = None
-                   ) -> DataFrame:
+def parse_extended(lines: DataFrame, line: str = "value", region_from: Column | None = None,
+                   keep_instant: bool = False) -> DataFrame:
     """Extended lines to typed metric records.
 
     ``-`` in a numeric field becomes NULL.  ``cdn_region`` is what the client sent;
-    ``region_from`` (say, from the file name) replaces a ``-``.
+    ``region_from`` (say, from the file name) replaces a ``-``.  Streams set
+    ``keep_instant``: a watermark needs a timestamp with zone.
     """
     others = [c for c in lines.columns if c != line]
-    fields = F.split(F.regexp_replace(F.col(line), fixed.EXTENDED_LINE, _joined(11)), _SEP)
-    parsed = (lines
-              .filter(F.col(line).contains(" cache_status=") & F.col(line).rlike(fixed.EXTENDED_LINE))
-              .select(*others, fields.alias("f")))
-    region = F.col("f")[8]
+    parsed = _fields(lines, line, fixed.EXTENDED_LINE, 11, " cache_status=")
+    region = _f(8)
     if region_from is not None:
         region = F.when(region == "-", region_from).otherwise(region)
-    instant = F.try_to_timestamp(F.col("f")[1], F.lit(fixed.LOG_TIME_FORMAT))
+    instant = F.try_to_timestamp(_f(1), F.lit(fixed.LOG_TIME_FORMAT))
     return parsed.select(
-        *others, F.col("f")[0].alias("remote_addr"), utc(instant).alias("ts"),
-        F.col("f")[2].alias("request"), F.col("f")[3].cast("int").alias("status"),
-        F.col("f")[4].cast("bigint").alias("body_bytes_sent"),
-        F.col("f")[5].alias("http_referer"), F.col("f")[6].alias("http_user_agent"),
-        F.col("f")[7].alias("cache_status"), region.alias("cdn_region"),
-        F.col("f")[9].try_cast("double").alias("lat"),
-        F.col("f")[10].try_cast("double").alias("request_time"))
+        *others, _f(0).alias("remote_addr"),
+        (instant if keep_instant else utc(instant)).alias("ts"), _f(2).alias("request"),
+        _f(3).try_cast("int").alias("status"), _f(4).try_cast("bigint").alias("body_bytes_sent"),
+        _f(5).alias("http_referer"), _f(6).alias("http_user_agent"), _f(7).alias("cache_status"),
+        region.alias("cdn_region"), _f(9).try_cast("double").alias("lat"),
+        _f(10).try_cast("double").alias("request_time"))
 
 
 def split_request(records: DataFrame, request: str = "request") -> DataFrame:

@@ -17,17 +17,22 @@ def _entries(objects: DataFrame, json: str, keep: list[str]) -> DataFrame:
             .select(*keep, "file_id", "e.*"))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """One index file: a JSON object keyed by cached path."""
-    return _entries(spark.read.text(path, wholetext=True), "value", [])
+def read_index(spark: SparkSession, path: str, whole_files: bool = True) -> DataFrame:
+    """JSON objects keyed by cached path.
+
+    An index file is one object, so it is read whole; with ``whole_files`` off every
+    line is an object of its own and large files split.
+    """
+    return _entries(spark.read.text(path, wholetext=whole_files), "value", [])
 
 
-def read_regional_indexes(spark: SparkSession, pattern: str) -> DataFrame:
-    """Index files named ``cache_index_<region>.json``, read together."""
-    files = spark.read.text(pattern, wholetext=True).select(
-        "value", F.regexp_extract(F.col("_metadata.file_name"), r"cache_index_(.+)\.json", 1)
+def read_regional_indexes(spark: SparkSession, pattern: str, whole_files: bool = True
+                          ) -> DataFrame:
+    """Indexes named ``cache_index_<region>.json`` (files or folders), read together."""
+    objects = spark.read.text(pattern, wholetext=whole_files).select(
+        "value", F.regexp_extract(F.col("_metadata.file_path"), r"cache_index_([^/]+)\.json", 1)
         .alias("region"))
-    return _entries(files, "value", ["region"])
+    return _entries(objects, "value", ["region"])
 
 
 def read_index_lines(spark: SparkSession, path: str) -> DataFrame:

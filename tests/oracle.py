@@ -20,6 +20,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
+
+
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -71,9 +75,11 @@ def compare(spark, con, fn, sql, sf_dir) -> str:
     for a, b in zip(left, right):
         if a != b:
             return f"values {dict(zip(left_columns, a))} != {dict(zip(left_columns, b))}"
-    types = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
-    bad = [n for n, t in types if "decimal" in t]
-    return f"decimal columns {bad}" if bad else ("" if left else "no rows")
+    theirs = {c[0]: str(c[1]) for c in result.description}
+    ours = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    bad = {n: f"{t} / {theirs[n]}" for n, t in ours.items()
+           if t in SAME_TYPE and theirs[n] != SAME_TYPE[t] or "decimal" in t}
+    return f"types {bad}" if bad else ("" if left else "no rows")
 
 
 def main() -> int:
