@@ -140,8 +140,8 @@ def total_weight(spark, d):
 
 
 @query("drawn_items_j7", _CATALOGUE + """,
-    draws AS (SELECT event_id, (md5_number_upper & 0) AS z, CAST(('0x' || substr(md5(CAST(event_id AS VARCHAR)),
-      1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM (SELECT event_id, 0 AS md5_number_upper FROM events))
+    draws AS (SELECT event_id, CAST('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 13) AS BIGINT)
+      / 4503599627370496.0 AS u FROM events)
     SELECT event_id, path FROM draws ASOF JOIN cum ON u <= cum_prob""")
 def drawn_items(spark, d):
     draws = table(spark, d, "events").select("event_id",

@@ -111,12 +111,14 @@ def next_marked(df: DataFrame, order: Sequence, value: str, name: str,
     cut = order_blocks(df, order, blocks)
     firsts = cut.groupBy(BLOCK).agg(
         F.min_by(value, F.when(F.col(value).isNotNull(), F.col(SLOT))).alias("first"))
-    later = Window.orderBy(BLOCK).rowsBetween(1, Window.unboundedFollowing)
+    # backwards frames that start at the first row are computed in one pass
+    later = (Window.orderBy(F.desc(BLOCK))
+             .rowsBetween(Window.unboundedPreceding, -1))
     carried = stage(firsts.select(
-        BLOCK, F.first("first", ignorenulls=True).over(later).alias("carried")), "carried")
-    ahead = (Window.partitionBy(BLOCK).orderBy(SLOT)
-             .rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return (cut.withColumn(name, F.first(value, ignorenulls=True).over(ahead))
+        BLOCK, F.last("first", ignorenulls=True).over(later).alias("carried")), "carried")
+    ahead = (Window.partitionBy(BLOCK).orderBy(F.desc(SLOT))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (cut.withColumn(name, F.last(value, ignorenulls=True).over(ahead))
             .join(carried, BLOCK)
             .withColumn(name, F.coalesce(name, "carried"))
             .drop(BLOCK, SLOT, "carried"))

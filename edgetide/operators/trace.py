@@ -153,69 +153,66 @@ def _recent(blocks: pd.DataFrame, capacity: int) -> pd.DataFrame:
             .drop_duplicates("file_id").head(capacity))
 
 
-def cache_before_blocks(trace: DataFrame, capacity: int, span: int | None = None) -> DataFrame:
-    """(block, file_id, last_pos): the ``capacity`` most recent objects before each block.
+def _top_recent(rows: DataFrame, capacity: int) -> DataFrame:
+    """The ``capacity`` most recent objects per ``at``, from rows with repeats."""
+    newest = rows.groupBy("at", "file_id").agg(F.max("last_pos").alias("last_pos"))
+    order = Window.partitionBy("at").orderBy(F.desc("last_pos"))
+    return (newest.withColumn("_r", F.row_number().over(order))
+            .filter(F.col("_r") <= capacity).drop("_r"))
+
+
+def _fold_before(summary: DataFrame, n: int, capacity: int, task_rows: int) -> DataFrame:
+    """For each place 0 .. n-1 the most recent objects of all summaries before it.
 
-    A block's summary is its own most recent objects.  Summaries are folded in two
-    levels, inside runs of ``span`` blocks and then over the runs, so no task sees
-    more than about span + blocks / span summaries.
+    Runs of places are folded in one task each, at most about ``task_rows`` rows; the
+    runs' own totals are folded the same way, in as many levels as that takes.
     """
-    latest = trace.groupBy(BLOCK, "file_id").agg(F.max("pos").alias("last_pos"))
-    recent = Window.partitionBy(BLOCK).orderBy(F.desc("last_pos"))
-    summary = stage(latest.withColumn("_r", F.row_number().over(recent))
-                    .filter(F.col("_r") <= capacity).drop("_r"), "lru-summary")
-    last = summary.agg(F.max(BLOCK)).first()[0]
-    n = (last or 0) + 1
-    span = span or max(1, int(n ** 0.5))
-    summary = summary.withColumn("_run", F.floor(F.col(BLOCK) / span).cast("int"))
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        # cache at the start of each block from this run alone, and the run's own total
-        out, state = [], pdf.iloc[:0][["file_id", "last_pos"]]
-        run = int(pdf["_run"].iloc[0])
-        groups = dict(list(pdf.groupby(BLOCK)))
-        for block in range(run * span, min(run * span + span, n)):
-            out.append(state.assign(**{BLOCK: block}))
-            if block in groups:
-                state = _recent(pd.concat([groups[block][["file_id", "last_pos"]], state]),
-                                capacity)
-        out.append(state.assign(**{BLOCK: -1}))
-        return pd.concat(out).assign(_run=run)[["_run", BLOCK, "file_id", "last_pos"]]
-
-    partial = stage(summary.groupBy("_run").applyInPandas(
-        inside, f"_run int, {BLOCK} int, file_id string, last_pos long"), "lru-runs")
-
-    def across(pdf: pd.DataFrame) -> pd.DataFrame:
+    span = max(2, task_rows // capacity)
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out, state = [], pdf.iloc[:0][["file_id", "last_pos"]]
-        groups = dict(list(pdf.groupby("_run")))
-        for run in range((n - 1) // span + 1):
-            out.append(state.assign(_run=run))
-            if run in groups:
-                state = _recent(pd.concat([groups[run][["file_id", "last_pos"]], state]),
-                                capacity)
-        return pd.concat(out)[["_run", "file_id", "last_pos"]]
-
-    # one row per (run, object of its summary): at most runs * capacity rows
-    runs = partial.filter(F.col(BLOCK) == -1).drop(BLOCK)
-    before_run = runs.groupBy(F.lit(0)).applyInPandas(
-        across, "_run int, file_id string, last_pos long")
-    starts = (trace.select(BLOCK).distinct()
-              .withColumn("_run", F.floor(F.col(BLOCK) / span).cast("int")))
-    both = (before_run.join(starts, "_run").select(BLOCK, "file_id", "last_pos")
-            .unionByName(partial.filter(F.col(BLOCK) >= 0).select(BLOCK, "file_id", "last_pos")))
-    newest = both.groupBy(BLOCK, "file_id").agg(F.max("last_pos").alias("last_pos"))
-    return (newest.withColumn("_r", F.row_number().over(recent))
-            .filter(F.col("_r") <= capacity).drop("_r"))
+        run = int(pdf["run"].iloc[0])
+        groups = {at: g[["file_id", "last_pos"]] for at, g in pdf.groupby("at")}
+        for at in range(run * span, min(run * span + span, n)):
+            out.append(state.assign(at=at))
+            if at in groups:
+                state = _recent(pd.concat([groups[at], state]), capacity)
+        out.append(state.assign(at=-1))
+        return pd.concat(out).assign(run=run)[["run", "at", "file_id", "last_pos"]]
+
+    runs = summary.withColumn("run", F.floor(F.col("at") / span).cast("int"))
+    folded = stage(runs.groupBy("run").applyInPandas(
+        fold, "run int, at int, file_id string, last_pos long"), "lru-fold")
+    inside = folded.filter(F.col("at") >= 0)
+    if n <= span:
+        return inside.drop("run")
+    totals = folded.filter(F.col("at") == -1).select(F.col("run").alias("at"), "file_id", "last_pos")
+    n_runs = (n + span - 1) // span
+    before_run = _fold_before(totals, n_runs, capacity, task_rows)
+    spread = before_run.select(
+        F.explode(F.sequence(F.col("at") * span, F.least((F.col("at") + 1) * span, F.lit(n)) - 1))
+        .alias("at"), "file_id", "last_pos")
+    return _top_recent(spread.unionByName(inside.drop("run")), capacity)
+
+
+def cache_before_blocks(trace: DataFrame, capacity: int, task_rows: int = 2_000_000) -> DataFrame:
+    """(block, file_id, last_pos): the ``capacity`` most recent objects before each block."""
+    latest = trace.select(F.col(BLOCK).alias("at"), "file_id", F.col("pos").alias("last_pos"))
+    summary = stage(_top_recent(latest, capacity), "lru-summary")
+    last = summary.agg(F.max("at")).first()[0]
+    if last is None:
+        return summary.withColumnRenamed("at", BLOCK)
+    return _fold_before(summary, last + 1, capacity, task_rows).withColumnRenamed("at", BLOCK)
 
 
 def lru_replay(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS,
-               span: int | None = None) -> DataFrame:
+               task_rows: int = 2_000_000) -> DataFrame:
     """(pos, hit, stack_distance_approx) for an LRU cache of ``capacity`` objects.
 
     On a hit the stack position counts from the least recent end, starting at 1; on a
     miss it is the occupancy plus 1.
     """
-    seeds = cache_before_blocks(trace, capacity, span)
+    seeds = cache_before_blocks(trace, capacity, task_rows)
 
     def play(rows: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
         return replay_block(rows, seed, capacity)
