@@ -27,21 +27,27 @@ def positioned(accesses: DataFrame, key: str, ts: str = "ts", blocks: int | None
 
 
 def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
-            carry: tuple[str, ...] = ()) -> DataFrame:
+            carry: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
     """Running count and age since the object's previous access (first: 0).
 
     Adds access_count, age_since_last_access, age_hours, access_rate, recency_score and
-    ``prev_<column>`` for each column in ``carry`` and for ``ts``.
+    ``prev_<column>`` for each column in ``carry`` and for ``ts``.  ``state`` (see
+    ``object_state``) is what earlier parts of the trace left behind; it meets the
+    summaries, not the rows, so a hot object joins once per block.
     """
     by = list(by)
     columns = [ts, *carry]
     summary = trace.groupBy(*by, BLOCK).agg(
         F.count("*").alias("_n"), F.max_by(F.struct(*columns), "pos").alias("_last"))
-    earlier = (Window.partitionBy(*by).orderBy(BLOCK)
-               .rowsBetween(Window.unboundedPreceding, -1))
+    by_block = Window.partitionBy(*by).orderBy(BLOCK)
     carried = summary.select(
-        *by, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_seen"),
-        F.lag("_last").over(Window.partitionBy(*by).orderBy(BLOCK)).alias("_carried"))
+        *by, BLOCK, F.coalesce(F.sum("_n").over(
+            by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_seen"),
+        F.lag("_last").over(by_block).alias("_carried"))
+    if state is not None:
+        carried = carried.join(state, by, "left").select(
+            *by, BLOCK, (F.col("_seen") + F.coalesce("state_count", F.lit(0))).alias("_seen"),
+            F.coalesce("_carried", "state_last").alias("_carried"))
     inside = Window.partitionBy(*by, BLOCK).orderBy("pos")
     rows = (trace
             .withColumns({"_rn": F.row_number().over(inside),
@@ -61,15 +67,33 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
     }).drop("_rn", "_prev", "_seen", "_carried")
 
 
+def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
+                 carry: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
+    """Count and last access per object, added to an earlier ``state``."""
+    by = list(by)
+    part = trace.groupBy(*by).agg(
+        F.count("*").alias("state_count"),
+        F.max_by(F.struct(ts, *carry), "pos").alias("state_last"))
+    if state is None:
+        return part
+    old = state.select(*by, F.col("state_count").alias("_count"), F.col("state_last").alias("_last"))
+    return part.join(old, by, "full_outer").select(
+        *by, (F.coalesce("state_count", F.lit(0)) + F.coalesce("_count", F.lit(0)))
+        .alias("state_count"), F.coalesce("state_last", "_last").alias("state_last"))
+
+
 def look_ahead(trace: DataFrame, window: int = fixed.LOOK_AHEAD,
-               future: int = fixed.FUTURE_ACCESSES) -> DataFrame:
+               future: int = fixed.FUTURE_ACCESSES, base: DataFrame | None = None) -> DataFrame:
     """Labels from the next accesses of the same object.
 
-    Adds next_access_distance, future_reuse_prob and will_be_accessed_in_n.
+    Adds next_access_distance, future_reuse_prob and will_be_accessed_in_n.  When
+    ``trace`` already carries computed columns, ``base`` is the plain positioned trace,
+    from which the summaries are read.
     """
+    base = trace if base is None else base
     inside = Window.partitionBy("file_id", BLOCK).orderBy("pos")
     # the row-number filter is applied before the shuffle: few rows per object and block
-    heads = (trace.select("file_id", BLOCK, "pos")
+    heads = (base.select("file_id", BLOCK, "pos")
              .withColumn("_rn", F.row_number().over(inside)).filter(F.col("_rn") <= future)
              .groupBy("file_id", BLOCK).agg(F.sort_array(F.collect_list("pos")).alias("_head")))
     # every later block with the object has at least one access of it
@@ -222,8 +246,10 @@ def lru_replay(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS,
             .applyInPandas(play, "pos long, hit int, stack_distance_approx long"))
 
 
-def with_lru(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS) -> DataFrame:
-    return trace.join(lru_replay(trace, capacity), "pos")
+def with_lru(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS,
+             base: DataFrame | None = None) -> DataFrame:
+    """Add hit and stack_distance_approx; ``base`` as in ``look_ahead``."""
+    return trace.join(lru_replay(trace if base is None else base, capacity), "pos")
 
 
 def training_statistics(labelled: DataFrame) -> DataFrame:
