@@ -349,11 +349,15 @@ def decay_step(spark, d):
     return snapshots.decay_and_merge(tracker, current, 2.0).select(*KEY, r6("frequency"))
 
 
-@query("policies_side_by_side_u3", cut_sql(LRU, "featured") + """SELECT region, 'LRU' AS policy, file_id
-    FROM evicted""")
+@query("policies_side_by_side_u3", f"""
+    WITH scored AS (SELECT *, 'LRU' AS policy, {LRU} AS score FROM featured
+      UNION ALL SELECT *, 'LFU', {LFU} FROM featured),
+    target AS (SELECT region, sum(size) - {LIMIT_MB * 1048576} AS need FROM snapshot GROUP BY ALL),
+    walked AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY policy, region ORDER BY score DESC, file_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed_before FROM scored)
+    SELECT policy, region, file_id FROM walked JOIN target USING (region) WHERE need > 0 AND freed_before < need""")
 def policies_side_by_side(spark, d):
-    """Evictions of several policies in one table, here filtered to one of them."""
     snap = snapshot(spark, d)
     both = evict.compare_policies({"LRU": evict.plan_lru(snap, AS_OF, LIMIT_MB),
                                    "LFU": evict.plan_lfu(snap, AS_OF, LIMIT_MB)})
-    return both.filter(c("policy") == "LRU").select("region", "policy", "file_id")
+    return both.select("policy", "region", "file_id")

@@ -8,6 +8,7 @@ from edgetide.checks import query
 from edgetide.checks.views import accesses, extended_lines, probes, records
 from edgetide.functions import fixed_values as fixed
 from edgetide.operators import audits, counters, traffic
+from edgetide.plans import metrics as metric_plan
 from edgetide.sources import access_logs
 
 c = F.col
@@ -156,3 +157,31 @@ def over_rate_zones(spark, d):
     FROM probes GROUP BY ALL""")
 def availability(spark, d):
     return traffic.availability(probes(spark, d)).withColumn("available", F.round("available", 6))
+
+
+@query("all_metrics_one_pass", """
+    SELECT 'requests_total' AS metric, count(*) AS series, CAST(sum(n) AS DOUBLE) AS value FROM (
+      SELECT count(*) AS n FROM accesses GROUP BY method, status, cache_status, cdn_region)
+    UNION ALL SELECT 'bytes_total', count(*), sum(n) FROM (
+      SELECT sum(size) AS n FROM accesses GROUP BY method, status, cache_status)
+    UNION ALL SELECT 'duration', 11 * count(*), sum(n) FROM (
+      SELECT count(request_time) AS n FROM accesses GROUP BY method, status, cache_status)
+    UNION ALL SELECT 'latency', 11 * count(*), sum(n) FROM (
+      SELECT count(lat) AS n FROM accesses GROUP BY method, status, cdn_region)
+    UNION ALL SELECT 'status_total', count(*), sum(n) FROM (
+      SELECT count(*) AS n FROM accesses GROUP BY method, status, path)
+    UNION ALL SELECT 'cache_status_total', count(*), sum(n) FROM (
+      SELECT count(*) AS n FROM accesses GROUP BY method, status, cache_status, cdn_region)
+    UNION ALL SELECT 'cache_requests', count(*), sum(n) FROM (
+      SELECT count(*) AS n FROM accesses GROUP BY cache_status, cdn_region, method)""")
+def all_metrics_one_pass(spark, d):
+    """Number of series and total per metric, all from one pass over the log."""
+    out = None
+    for name, rows in metric_plan.metric_tables(_parsed(spark, d)).items():
+        value = ("bytes_sent" if name == "bytes_total"
+                 else "bucket" if name in ("duration", "latency") else "requests")
+        kept = c("le") == "+Inf" if value == "bucket" else F.lit(True)
+        one = rows.agg(F.lit(name).alias("metric"), F.count("*").alias("series"),
+                       F.sum(F.when(kept, c(value))).cast("double").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out

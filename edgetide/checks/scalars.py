@@ -129,8 +129,9 @@ def class_ordinal(spark, d):
     SELECT event_id, CASE file_type WHEN 'image' THEN 2 WHEN 'video' THEN 0 ELSE 11 END
       AS ordinal FROM accesses""")
 def class_ordinal_join(spark, d):
-    # twelve fixed rows: a local relation, which the planner broadcasts by its size
-    lookup = spark.createDataFrame(list(fixed.CLASS_ORDINAL.items()), "file_type string, code int")
+    # twelve fixed rows
+    lookup = F.broadcast(spark.createDataFrame(list(fixed.CLASS_ORDINAL.items()),
+                                               "file_type string, code int"))
     return (accesses(spark, d).join(lookup, "file_type", "left")
             .select("event_id", F.coalesce("code", F.lit(fixed.MISSING_CLASS_ORDINAL))
                     .alias("ordinal")))

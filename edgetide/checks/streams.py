@@ -77,7 +77,13 @@ def running_durations(spark, d):
         "value_sum", F.round("value_sum", 6))
 
 
-@query("streamed_intervals_x3")
+_MARK = """WITH a AS (SELECT *, date_trunc('second', ts) AS s FROM accesses),
+    mark AS (SELECT max(s) - INTERVAL '1 minute' AS mark FROM a)"""
+
+
+@query("streamed_intervals_x3", _MARK + """
+    SELECT time_bucket(INTERVAL '10 seconds', s) AS window_start, cdn_region, count(*) AS requests
+    FROM a, mark WHERE time_bucket(INTERVAL '10 seconds', s) + INTERVAL '10 seconds' <= mark GROUP BY ALL""")
 def streamed_intervals(spark, d):
     """Closed 10-second windows; the newest ones stay open behind the watermark."""
     out, checkpoint = new_path(spark, "intervals"), new_path(spark, "checkpoint")
@@ -86,15 +92,28 @@ def streamed_intervals(spark, d):
     return spark.read.parquet(out).withColumn("window_start", utc(c("window_start")))
 
 
-@query("streamed_rates_x4")
+@query("streamed_rates_x4", _MARK + """,
+    w AS (SELECT time_bucket(INTERVAL '1 minute', s) - to_minutes(CAST(m AS INTEGER)) AS window_start, cdn_region
+      FROM a, (SELECT unnest(range(5)) AS m))
+    SELECT window_start, cdn_region, count(*) AS requests, round(count(*) / 300.0, 6) AS per_second
+    FROM w, mark WHERE window_start + INTERVAL '5 minutes' <= mark GROUP BY ALL""")
 def streamed_rates(spark, d):
     out, checkpoint = new_path(spark, "rates"), new_path(spark, "checkpoint")
     _in_two_parts(spark, d, lambda p: running.append_closed(
         running.sliding_rates(tail.tail_records(spark, p), ["cdn_region"]), out, checkpoint))
-    return spark.read.parquet(out).withColumn("window_start", utc(c("window_start")))
-
-
-@query("streamed_sessions_x5")
+    return spark.read.parquet(out).select(
+        utc(c("window_start")).alias("window_start"), "cdn_region", "requests",
+        F.round("per_second", 6).alias("per_second"))
+
+
+@query("streamed_sessions_x5", _MARK + """,
+    g AS (SELECT *, s >= lag(s) OVER w + INTERVAL '1 hour' AS fresh FROM a
+      WINDOW w AS (PARTITION BY cdn_region, path ORDER BY s, event_id)),
+    n AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY cdn_region, path
+      ORDER BY s, event_id) AS nr FROM g),
+    stays AS (SELECT cdn_region, path, min(s) AS session_start, max(s) AS last_access, count(*) AS accesses
+      FROM n GROUP BY cdn_region, path, nr)
+    SELECT stays.* FROM stays, mark WHERE last_access + INTERVAL '1 hour' <= mark""")
 def streamed_sessions(spark, d):
     out, checkpoint = new_path(spark, "sessions"), new_path(spark, "checkpoint")
     _in_two_parts(spark, d, lambda p: running.append_closed(
@@ -151,7 +170,10 @@ def streamed_frequencies(spark, d):
         "cdn_region", "file_id", F.round("frequency", 6).alias("frequency"))
 
 
-@query("late_rows_x10")
+@query("late_rows_x10", _MARK + """
+    SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests, true AS some_dropped FROM (
+      SELECT time_bucket(INTERVAL '1 hour', s) AS w, cdn_region, count(*) AS n FROM a, mark
+      WHERE dayofmonth(s) > 15 AND time_bucket(INTERVAL '1 hour', s) + INTERVAL '1 hour' <= mark GROUP BY ALL)""")
 def late_rows(spark, d):
     """Newest part first, so that the older part arrives behind the watermark."""
     path, out, checkpoint = (new_path(spark, n) for n in ("late-log", "late", "checkpoint"))
@@ -166,7 +188,7 @@ def late_rows(spark, d):
         dropped += running.dropped_rows(started)
     return spark.read.parquet(out).agg(
         F.count("*").alias("windows"), F.sum("requests").alias("requests")).withColumn(
-        "dropped", F.lit(dropped))
+        "some_dropped", F.lit(dropped > 0))
 
 
 @query("json_debug_sink_s17", """SELECT method, path, status, size AS body_bytes_sent, cache_status, cdn_region,

@@ -206,7 +206,32 @@ def object_day_matrix(spark, d):
     return traffic.per_day_matrix(accesses(spark, d), _DAYS)
 
 
-@query("traffic_report_s18")
+_KIND = """CASE WHEN url LIKE '%.jpg%' THEN 'Images' WHEN url LIKE '%.mp4%' THEN 'Videos' ELSE 'Other' END"""
+
+
+@query("traffic_report_s18", r"""
+    WITH u AS (SELECT url, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, url) AS r
+      FROM good_probes GROUP BY url),
+    s AS (SELECT (SELECT count(*) FROM good_probes) AS ok, (SELECT count(*) FROM probes) AS whole),
+    k AS (SELECT kind, count(x.kind) AS n FROM (VALUES ('Images'), ('Videos'), ('Other')) v(kind)
+      LEFT JOIN (SELECT """ + _KIND + r""" AS kind FROM good_probes) x USING (kind) GROUP BY ALL),
+    t AS (SELECT avg(response_time) AS mean, median(response_time) AS median, min(response_time) AS least,
+      max(response_time) AS greatest FROM good_probes),
+    rows AS (
+      SELECT 'statistics' AS section, 'total_requests' AS item, whole AS value FROM s
+      UNION ALL SELECT 'statistics', 'successful_requests', ok FROM s
+      UNION ALL SELECT 'statistics', 'failed_requests', count(*) FROM probes WHERE status_code = 'FAILED'
+      UNION ALL SELECT 'success_rate', 'success_rate', (ok * 10000 // whole) / 100 FROM s
+      UNION ALL SELECT 'success_rate', 'success_rate_short', (ok * 1000 // whole) / 10 FROM s
+      UNION ALL SELECT 'top_urls', url, n FROM u WHERE r <= 20
+      UNION ALL SELECT 'categories', regexp_replace(url, 'https?://[^/]+/([^/]+/[^/]+).*', '\1'), count(*)
+        FROM good_probes GROUP BY ALL
+      UNION ALL SELECT 'kinds', kind, n FROM k
+      UNION ALL SELECT 'response_times', 'mean', mean FROM t UNION ALL SELECT 'response_times', 'median', median FROM t
+      UNION ALL SELECT 'response_times', 'least', least FROM t UNION ALL SELECT 'response_times', 'greatest', greatest FROM t
+      UNION ALL SELECT 'zipf', r || ',' || url, n FROM u WHERE r <= 50
+      UNION ALL SELECT 'hourly', h, count(*) FROM (SELECT CAST(hour(ts) AS VARCHAR) AS h FROM good_probes) GROUP BY h)
+    SELECT section, item, round(CAST(value AS DOUBLE), 6) AS value FROM rows""".replace("\\1", "\1"))
 def traffic_report(spark, d):
-    """All sections, written as one table and read back."""
-    return report.written_report(probes(spark, d))
+    """All sections, written as one table with a folder per section and read back."""
+    return report.written_report(probes(spark, d)).withColumn("value", F.round("value", 6))

@@ -87,7 +87,11 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapshots.index_from_log(accesses(spark, sf_dir), "event_id")
+    """The index per region and object, with the path the objects have in this mapping."""
+    index = snapshots.index_from_log(accesses(spark, sf_dir))
+    folder = F.when(F.col("type") == "image", "/static/images/").otherwise("/static/videos/")
+    ext = F.when(F.col("type") == "image", ".jpg").otherwise(".mp4")
+    return index.withColumn("path", F.concat(folder, "file_id", ext))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

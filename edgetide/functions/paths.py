@@ -113,13 +113,25 @@ def versioned_url(url: Column, changed_at: Column) -> Column:
     return F.concat(url, F.lit("?v="), epoch_seconds(changed_at).cast("string"))
 
 
+def seconds_between(earlier: Column, later: Column) -> Column:
+    """Seconds from one zone-free timestamp to another, exact to the microsecond.
+
+    The difference is an interval, so the session's zone plays no part.
+    """
+    return (later - earlier).cast("interval second").cast("decimal(18,6)")
+
+
+def _since_epoch(ts: Column) -> Column:
+    return seconds_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def epoch_micros(ts: Column) -> Column:
-    """Microseconds since 1970-01-01 of a zone-free UTC timestamp, exactly."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Microseconds since 1970-01-01 of a zone-free UTC timestamp."""
+    return (_since_epoch(ts) * 1000000).cast("bigint")
 
 
 def epoch_seconds(ts: Column) -> Column:
-    return F.floor(epoch_micros(ts) / F.lit(1000000)).cast("bigint")
+    return F.floor(_since_epoch(ts)).cast("bigint")
 
 
 def allowed_upload(filename: Column) -> Column:

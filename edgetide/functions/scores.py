@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from edgetide.functions import fixed_values as fixed
+from edgetide.functions import paths
 
 MB = 1024.0 * 1024.0
 
@@ -19,8 +20,8 @@ def moment(value) -> Column:
 
 
 def age_seconds(ts: Column, as_of) -> Column:
-    """Seconds between two zone-free timestamps, exact to the microsecond."""
-    return F.timestamp_diff("MICROSECOND", ts, moment(as_of)) / F.lit(1e6)
+    """Seconds from ``ts`` to ``as_of`` as a double."""
+    return paths.seconds_between(ts, moment(as_of)).cast("double")
 
 
 def log_size(size: Column) -> Column:

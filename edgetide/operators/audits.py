@@ -19,12 +19,12 @@ def residency(accesses: DataFrame, inactive_s: int, by=("cdn_region", "file_id")
     first counted per slot (combined before the shuffle); an object then has one row
     per slot, however often it is asked for.
     """
-    micros = paths.epoch_micros(F.col(ts))
-    slots = accesses.groupBy(*by, F.floor(micros / F.lit(inactive_s * 1_000_000)).alias("_slot")).agg(
+    slot = F.floor(paths.epoch_seconds(F.col(ts)) / F.lit(inactive_s)).alias("_slot")
+    slots = accesses.groupBy(*by, slot).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.count("*").alias("_n"))
     order = Window.partitionBy(*by).orderBy("_slot")
-    gap = paths.epoch_micros(F.col("_first")) - paths.epoch_micros(F.lag("_last").over(order))
-    starts = F.coalesce((gap >= inactive_s * 1_000_000).cast("int"), F.lit(0))
+    gap = paths.seconds_between(F.lag("_last").over(order), F.col("_first"))
+    starts = F.coalesce((gap >= inactive_s).cast("int"), F.lit(0))
     return (slots.withColumn("_starts", starts)
             .withColumn("stay", F.sum("_starts").over(order))
             .groupBy(*by, "stay")

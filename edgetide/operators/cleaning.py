@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from edgetide.functions import clients, paths
 from edgetide.functions import fixed_values as fixed
 from edgetide.operators.ordered import group_total
+from edgetide.staging import stage
 
 
 def media_only(accesses: DataFrame, path: str = "url") -> DataFrame:
@@ -32,13 +33,21 @@ def numeric_size(size: Column) -> Column:
     return F.coalesce(size.try_cast("double"), F.lit(0.0))
 
 
-def with_class(accesses: DataFrame, strict: bool = False) -> DataFrame:
-    """Add ``type``: from the label column, or from the id where no label exists at all."""
+def with_class(accesses: DataFrame, strict: bool = False, labelled: bool | None = None
+               ) -> DataFrame:
+    """Add ``type``: from the label column, or from the id where no label exists at all.
+
+    Pass ``labelled`` when that is known; otherwise each partition is read up to its
+    first label.
+    """
     by_id = paths.content_class(F.col("file_id"))
-    if "file_type" not in accesses.columns:
+    if labelled is False or "file_type" not in accesses.columns:
         return accesses.withColumn("type", by_id)
-    labels = accesses.select(F.count("file_type")).scalar()
     by_label = paths.class_of_label(F.col("file_type"), strict)
+    if labelled:
+        return accesses.withColumn("type", by_label)
+    labels = (accesses.filter(F.col("file_type").isNotNull()).limit(1)
+              .select(F.count("file_type")).scalar())
     return accesses.withColumn("type", F.when(labels == 0, by_id).otherwise(by_label))
 
 
@@ -48,22 +57,23 @@ def frequent_objects(accesses: DataFrame, at_least: int = fixed.MIN_OBJECT_ACCES
 
 
 def of_frequent_objects(accesses: DataFrame, row_key: str,
-                        at_least: int = fixed.MIN_OBJECT_ACCESSES, salts: int = 64) -> DataFrame:
-    """Rows whose object has enough accesses. The join is salted by ``row_key``."""
-    counted = group_total(accesses, "file_id", row_key, "_accesses", salts=salts)
+                        at_least: int = fixed.MIN_OBJECT_ACCESSES) -> DataFrame:
+    """Rows whose object has enough accesses; hot objects are spread by ``row_key``."""
+    counted = group_total(accesses, "file_id", row_key, "_accesses")
     return counted.filter(F.col("_accesses") >= at_least).drop("_accesses")
 
 
 def clean_accesses(accesses: DataFrame, row_key: str, strict_class: bool = False,
-                   at_least: int = fixed.MIN_OBJECT_ACCESSES, statuses=None) -> DataFrame:
+                   at_least: int = fixed.MIN_OBJECT_ACCESSES, statuses=None,
+                   labelled: bool | None = None) -> DataFrame:
     """Named objects, good statuses, no bots, frequent objects; adds the classes."""
     kept = without_bots(ok_only(named_objects(accesses), statuses))
     size = numeric_size(F.col("size"))
-    enriched = with_class(kept, strict_class).withColumns({
+    frequent = of_frequent_objects(kept, row_key, at_least)
+    return with_class(frequent, strict_class, labelled).withColumns({
         "size": size, "log_file_size": F.log1p(size),
         "client_type": clients.client_class(F.col("user_agent")),
     })
-    return of_frequent_objects(enriched, row_key, at_least)
 
 
 def static_get_lines(lines: DataFrame, line: str = "value") -> DataFrame:
@@ -114,8 +124,9 @@ def content_violations(content: DataFrame) -> DataFrame:
 
 
 def known(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    return rows.join(names, column, "left_semi")
+    """Rows whose name is listed. Staged names are broadcast only if they are small."""
+    return rows.join(stage(names.select(column).distinct(), "names"), column, "left_semi")
 
 
 def unknown(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
-    return rows.join(names, column, "left_anti")
+    return rows.join(stage(names.select(column).distinct(), "names"), column, "left_anti")

@@ -154,16 +154,24 @@ def exact_median(df: DataFrame, value: str, name: str = "median",
     return ordered.agg(((picked[0] + picked[1]) / 2.0).alias(name))
 
 
-def group_total(df: DataFrame, key: str, row_key: str, name: str, value: Column | None = None,
-                salts: int = 64) -> DataFrame:
+def group_total(df: DataFrame, key: str, row_key: str, name: str, value: Column | None = None
+                ) -> DataFrame:
     """Attach the number of rows (or the sum of ``value``) of each key to its rows.
 
-    Rows are joined on (key, salt), with the salt taken from ``row_key``, so no task
-    gets a whole hot key; each key has at most ``salts`` partial totals.
+    Keys with more rows than an even partition would hold are hot; there are fewer of
+    them than partitions, so their totals are broadcast and their rows are spread by
+    ``row_key`` instead of by key.  All other keys meet their totals in a shuffle join,
+    or a broadcast one when the staged totals are small.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
-    partial = salted.groupBy(key, "_salt").agg(
-        F.sum(F.lit(1) if value is None else value).alias("part"))
-    totals = partial.select(
-        key, "_salt", F.sum("part").over(Window.partitionBy(key)).alias(name))
-    return salted.join(totals, [key, "_salt"]).drop("_salt")
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    totals = stage(df.groupBy(key).agg(
+        F.count("*").alias("_n"),
+        (F.count("*") if value is None else F.sum(value)).alias("_total")), "totals")
+    rows = totals.select(F.sum("_n")).scalar()
+    hot = totals.filter(F.col("_n") > rows / partitions).select(key, F.col("_total").alias("_hot"))
+    spread = F.concat(F.lit("\u0001"), F.pmod(F.xxhash64(row_key), F.lit(partitions)))
+    marked = df.join(F.broadcast(hot), key, "left").withColumn(
+        "_key", F.when(F.col("_hot").isNull(), F.col(key).cast("string")).otherwise(spread))
+    cold = totals.select(F.col(key).cast("string").alias("_key"), F.col("_total").alias("_cold"))
+    return (marked.join(cold, "_key", "left")
+            .withColumn(name, F.coalesce("_hot", "_cold")).drop("_key", "_hot", "_cold"))

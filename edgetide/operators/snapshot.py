@@ -9,22 +9,34 @@ from edgetide.functions import fixed_values as fixed
 from edgetide.functions import paths, responses, scores
 
 
-def index_from_log(accesses: DataFrame, key: str) -> DataFrame:
+def index_from_log(accesses: DataFrame) -> DataFrame:
     """Per region and object: last access, its size, type and access count.
 
-    Only good statuses count.  ``key`` breaks ties in time.
+    Only good statuses count; of accesses at the same instant the largest size is
+    taken.  Time and size travel in one decimal and the type as its ordinal, because
+    aggregates over fixed-width values hash and combine before the shuffle, while
+    strings and structs would be sorted first.
     """
     ok = accesses.filter(F.col("status").isin(fixed.OK_STATUSES))
-    latest = F.struct("ts", key)
+    shift = F.lit(10 ** 15).cast("decimal(16,0)")
+    micros = paths.epoch_micros(F.col("ts")).cast("decimal(19,0)")
+    packed = F.max((micros * shift + F.col("size").cast("decimal(15,0)")).cast("decimal(38,0)"))
+    last = F.floor(F.col("_last") / shift)
+    names = {code: name for name, code in fixed.CLASS_ORDINAL.items()}
     return (ok.groupBy(F.col("cdn_region").alias("region"), "file_id")
-            .agg(F.max("ts").alias("last_access"), F.max_by("size", latest).alias("size"),
-                 F.max("path").alias("path"), F.count("*").alias("access_count"))
-            .withColumn("type", paths.media_type(F.col("path"))))
+            .agg(packed.alias("_last"), F.count("*").alias("access_count"),
+                 F.min(paths.class_ordinal(paths.media_type(F.col("path")))).alias("_class"))
+            .select("region", "file_id",
+                    F.timestamp_add("MICROSECOND", last.cast("bigint"),
+                                    F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+                    .alias("last_access"),
+                    F.pmod("_last", shift).cast("bigint").alias("size"), "access_count",
+                    paths.one_of(F.col("_class"), names).alias("type")))
 
 
 def types_by_hash(requests: DataFrame, **key_parts: str) -> DataFrame:
     """Distinct (hash, type) of logged media paths; the type follows from the path."""
-    return (requests.select("path", "type").groupBy("path").agg(F.first("type").alias("type"))
+    return (requests.select("path", "type").distinct()
             .select(responses.cache_hash(F.col("path"), **key_parts).alias("hash"), "type"))
 
 

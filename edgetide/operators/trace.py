@@ -37,8 +37,10 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
     """
     by = list(by)
     columns = [ts, *carry]
+    # one fixed-width maximum per column keeps this a hash aggregate; a struct would not
     summary = trace.groupBy(*by, BLOCK).agg(
-        F.count("*").alias("_n"), F.max_by(F.struct(*columns), "pos").alias("_last"))
+        F.count("*").alias("_n"), *[F.max_by(c, "pos").alias(f"_last_{c}") for c in columns]
+    ).withColumn("_last", F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns]))
     by_block = Window.partitionBy(*by).orderBy(BLOCK)
     carried = summary.select(
         *by, BLOCK, F.coalesce(F.sum("_n").over(
@@ -55,8 +57,8 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
             .join(carried, [*by, BLOCK])
             .withColumns({"access_count": F.col("_rn") + F.col("_seen"),
                           "_prev": F.coalesce("_prev", "_carried")}))
-    age = F.coalesce((paths.epoch_micros(F.col(ts)) - paths.epoch_micros(F.col(f"_prev.{ts}")))
-                     / F.lit(1e6), F.lit(0.0))
+    age = F.coalesce(paths.seconds_between(F.col(f"_prev.{ts}"), F.col(ts)).cast("double"),
+                     F.lit(0.0))
     rows = rows.withColumn("age_since_last_access", age).withColumn(
         "age_hours", F.col("age_since_last_access") / 3600.0)
     return rows.withColumns({
@@ -71,9 +73,12 @@ def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
                  carry: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
     """Count and last access per object, added to an earlier ``state``."""
     by = list(by)
+    columns = [ts, *carry]
     part = trace.groupBy(*by).agg(
         F.count("*").alias("state_count"),
-        F.max_by(F.struct(ts, *carry), "pos").alias("state_last"))
+        *[F.max_by(c, "pos").alias(f"_last_{c}") for c in columns]
+    ).select(*by, "state_count",
+             F.struct(*[F.col(f"_last_{c}").alias(c) for c in columns]).alias("state_last"))
     if state is None:
         return part
     old = state.select(*by, F.col("state_count").alias("_count"), F.col("state_last").alias("_last"))

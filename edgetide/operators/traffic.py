@@ -24,43 +24,51 @@ def truncated_percent(part: Column, whole: Column, decimals: int = 2) -> Column:
     return F.round(scaled, 0) / scale
 
 
-def totals(probes: DataFrame) -> DataFrame:
+def _rows(weight: str | None, when: Column | None = None) -> Column:
+    """Number of rows, or the sum of their weights; only those ``when`` holds if given."""
+    if weight is None:
+        return F.count("*") if when is None else F.count_if(when)
+    value = F.col(weight) if when is None else F.when(when, F.col(weight)).otherwise(0)
+    return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+
+def totals(probes: DataFrame, weight: str | None = None) -> DataFrame:
     ok = F.col("status_code").rlike("^[23][0-9][0-9]$")
     return probes.agg(
-        F.count("*").alias("total_requests"),
-        F.count_if(ok).alias("successful_requests"),
-        F.count_if(F.col("status_code") == "FAILED").alias("failed_requests"))
+        _rows(weight).alias("total_requests"),
+        _rows(weight, ok).alias("successful_requests"),
+        _rows(weight, F.col("status_code") == "FAILED").alias("failed_requests"))
 
 
-def success_rate(probes: DataFrame) -> DataFrame:
+def success_rate(probes: DataFrame, weight: str | None = None) -> DataFrame:
     part, whole = F.col("successful_requests"), F.col("total_requests")
-    return totals(probes).select(
+    return totals(probes, weight).select(
         truncated_percent(part, whole, 2).alias("success_rate"),
         truncated_percent(part, whole, 1).alias("success_rate_short"))
 
 
-def url_counts(probes: DataFrame) -> DataFrame:
-    return successful(probes).groupBy("url").agg(F.count("*").alias("requests"))
+def url_counts(probes: DataFrame, weight: str | None = None) -> DataFrame:
+    return successful(probes).groupBy("url").agg(_rows(weight).alias("requests"))
 
 
-def top_urls(probes: DataFrame, n: int = 20) -> DataFrame:
-    return url_counts(probes).orderBy(F.desc("requests"), "url").limit(n)
+def top_urls(probes: DataFrame, n: int = 20, weight: str | None = None) -> DataFrame:
+    return url_counts(probes, weight).orderBy(F.desc("requests"), "url").limit(n)
 
 
-def category_counts(probes: DataFrame) -> DataFrame:
+def category_counts(probes: DataFrame, weight: str | None = None) -> DataFrame:
     return (successful(probes).groupBy(paths.url_category(F.col("url")).alias("category"))
-            .agg(F.count("*").alias("requests")))
+            .agg(_rows(weight).alias("requests")))
 
 
-def kind_counts(probes: DataFrame) -> DataFrame:
+def kind_counts(probes: DataFrame, weight: str | None = None) -> DataFrame:
     """Successful requests for .jpg, .mp4 and anything else, with truncated percents."""
     kind = (F.when(F.col("url").contains(".jpg"), "Images")
             .when(F.col("url").contains(".mp4"), "Videos").otherwise("Other"))
+    kinds = ("Images", "Videos", "Other")
     counted = successful(probes).agg(
-        *[F.count_if(kind == k).alias(k) for k in ("Images", "Videos", "Other")],
-        F.count("*").alias("whole"))
+        *[_rows(weight, kind == k).alias(k) for k in kinds], _rows(weight).alias("whole"))
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("requests"))
-                               for k in ("Images", "Videos", "Other")]))
+                               for k in kinds]))
     return (counted.select("whole", rows.alias("r"))
             .select("r.kind", "r.requests",
                     truncated_percent(F.col("r.requests"), F.col("whole"), 1).alias("percent")))
