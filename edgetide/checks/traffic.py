@@ -231,7 +231,7 @@ _KIND = """CASE WHEN url LIKE '%.jpg%' THEN 'Images' WHEN url LIKE '%.mp4%' THEN
       UNION ALL SELECT 'response_times', 'least', least FROM t UNION ALL SELECT 'response_times', 'greatest', greatest FROM t
       UNION ALL SELECT 'zipf', r || ',' || url, n FROM u WHERE r <= 50
       UNION ALL SELECT 'hourly', h, count(*) FROM (SELECT CAST(hour(ts) AS VARCHAR) AS h FROM good_probes) GROUP BY h)
-    SELECT section, item, round(CAST(value AS DOUBLE), 6) AS value FROM rows""".replace("\\1", "\1"))
+    SELECT section, item, round(CAST(value AS DOUBLE), 6) AS value FROM rows""")
 def traffic_report(spark, d):
     """All sections, written as one table with a folder per section and read back."""
     return report.written_report(probes(spark, d)).withColumn("value", F.round("value", 6))
