@@ -63,11 +63,16 @@ def of_frequent_objects(accesses: DataFrame, row_key: str,
     return counted.filter(F.col("_accesses") >= at_least).drop("_accesses")
 
 
+def usable(accesses: DataFrame, statuses=None) -> DataFrame:
+    """Named objects, good statuses, no bots: the filters that need one row only."""
+    return without_bots(ok_only(named_objects(accesses), statuses))
+
+
 def clean_accesses(accesses: DataFrame, row_key: str, strict_class: bool = False,
                    at_least: int = fixed.MIN_OBJECT_ACCESSES, statuses=None,
                    labelled: bool | None = None) -> DataFrame:
-    """Named objects, good statuses, no bots, frequent objects; adds the classes."""
-    kept = without_bots(ok_only(named_objects(accesses), statuses))
+    """Usable accesses of frequent objects, with their classes."""
+    kept = usable(accesses, statuses)
     size = numeric_size(F.col("size"))
     frequent = of_frequent_objects(kept, row_key, at_least)
     return with_class(frequent, strict_class, labelled).withColumns({

@@ -78,7 +78,8 @@ def with_position(df: DataFrame, order: Sequence, name: str = "pos",
     """0-based position in the whole order. One range shuffle, no window over rows."""
     cut = order_blocks(df, order, blocks)
     before = offsets(cut, [], n=F.lit(1))
-    numbered = (cut.join(before.select(BLOCK, "before_n"), BLOCK)
+    # one row per block, so never more rows than shuffle partitions
+    numbered = (cut.join(F.broadcast(before.select(BLOCK, "before_n")), BLOCK)
                 .withColumn(name, F.col("before_n") + F.col(SLOT)).drop(SLOT, "before_n"))
     return numbered if keep_block else numbered.drop(BLOCK)
 
@@ -119,7 +120,7 @@ def next_marked(df: DataFrame, order: Sequence, value: str, name: str,
     ahead = (Window.partitionBy(BLOCK).orderBy(F.desc(SLOT))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (cut.withColumn(name, F.last(value, ignorenulls=True).over(ahead))
-            .join(carried, BLOCK)
+            .join(F.broadcast(carried), BLOCK)  # one row per block
             .withColumn(name, F.coalesce(name, "carried"))
             .drop(BLOCK, SLOT, "carried"))
 
@@ -136,7 +137,7 @@ def value_counts_in_order(df: DataFrame, value: str, blocks: int | None = None,
     before = offsets(cut, [], **{n: F.col(n) for n in measures}).drop("first_slot")
     inside = (Window.partitionBy(BLOCK).orderBy(SLOT)
               .rowsBetween(Window.unboundedPreceding, -1))
-    return cut.join(before, BLOCK).select(
+    return cut.join(F.broadcast(before), BLOCK).select(  # one row per block
         value, *measures,
         *[(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"before_{n}"))
           .alias(f"below_{n}") for n in measures])

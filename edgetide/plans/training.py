@@ -19,9 +19,14 @@ def training_table(accesses: DataFrame, key: str, window: int = fixed.LOOK_AHEAD
                    capacity: int = fixed.CACHE_OBJECTS, blocks: int | None = None) -> DataFrame:
     """Cleaned accesses with labels, features and their split, written once.
 
-    History and labels share one shuffle by (object, block).
+    The needed columns of usable accesses are written first: counting, range sampling
+    and the range shuffle each read them, and none should parse the log again.  History
+    and labels share one shuffle by (object, block).
     """
-    clean = cleaning.clean_accesses(accesses, key).select(
+    wanted = [c for c in (key, "ts", "file_id", "file_type", "size", "status", "user_agent")
+              if c in accesses.columns]
+    usable = stage(cleaning.usable(accesses.select(*wanted)), "usable")
+    clean = cleaning.clean_accesses(usable, key).select(
         key, "ts", "file_id", "type", "size", "log_file_size")
     base = trace.positioned(clean, key, blocks=blocks)
     rows = trace.look_ahead(trace.history(base), window, base=base)
