@@ -197,6 +197,17 @@ def hit_probability_plan(spark, d):
     return _plan(evict.plan_hit_probability(predictions(spark, d), LIMIT_MB).evicted)
 
 
+@query("hit_model_features_m12", """
+    SELECT region, file_id, CAST(length(file_id) - length(replace(file_id, '_', '')) AS INTEGER) AS access_count,
+      round(age_since_last_access, 6) AS age_since_last_access, type AS file_type,
+      CAST(dense_rank() OVER (ORDER BY type) - 1 AS INTEGER) AS file_type_encoded,
+      round(ln(1 + greatest(1, size)), 6) AS log_file_size FROM featured""")
+def hit_model_features(spark, d):
+    return snapshots.hit_model_features(snapshot(spark, d), AS_OF).select(
+        *KEY, "access_count", r6("age_since_last_access"), "file_type", "file_type_encoded",
+        r6("log_file_size"))
+
+
 @query("survivors_j3_u4", cut_sql(LRU, "featured") + """SELECT region, file_id, size FROM snapshot
     ANTI JOIN evicted USING (region, file_id)""")
 def survivors(spark, d):
@@ -336,8 +347,8 @@ def index_after_eviction(spark, d):
 _OLD = """WITH old AS (SELECT cdn_region AS region, file_id, count(*) / 200.0::DOUBLE AS frequency
   FROM accesses GROUP BY ALL),
 kept AS (SELECT region, file_id, frequency * pow(0.99, 2) AS f FROM old WHERE frequency * pow(0.99, 2) >= 0.1),
-fresh AS (SELECT region, file_id, access_count * greatest(0.1::DOUBLE, 1 - age_hours / 24) AS f FROM featured
-  WHERE access_count % 2 = 0)"""
+fresh AS (SELECT region, CASE WHEN access_count % 2 = 0 THEN file_id ELSE file_id || '_new' END AS file_id,
+  access_count * greatest(0.1::DOUBLE, 1 - age_hours / 24) AS f FROM featured)"""
 
 
 @query("decay_step_x8_j6", _OLD + """ SELECT region, file_id, round(greatest(coalesce(kept.f, 0),
@@ -345,7 +356,10 @@ fresh AS (SELECT region, file_id, access_count * greatest(0.1::DOUBLE, 1 - age_h
 def decay_step(spark, d):
     tracker = (accesses(spark, d).groupBy(c("cdn_region").alias("region"), "file_id")
                .agg((F.count("*") / 200.0).alias("frequency")))
-    current = snapshots.with_frequency(snapshot(spark, d), AS_OF).filter(c("access_count") % 2 == 0)
+    # half of the current objects are new to the tracker
+    name = F.when(c("access_count") % 2 == 0, c("file_id")).otherwise(
+        F.concat("file_id", F.lit("_new")))
+    current = snapshots.with_frequency(snapshot(spark, d), AS_OF).withColumn("file_id", name)
     return snapshots.decay_and_merge(tracker, current, 2.0).select(*KEY, r6("frequency"))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from edgetide.checks import query
 from edgetide.checks.metrics import histogram_sql
 from edgetide.checks.views import extended_lines
-from edgetide.operators import counters
 from edgetide.functions import paths
+from edgetide.operators import audits, counters
 from edgetide.sources.access_logs import utc
 from edgetide.staging import new_path
 from edgetide.streaming import running, state, tail
@@ -146,6 +146,27 @@ def streamed_features(spark, d):
         F.round("recency_score", 6).alias("recency_score"))
 
 
+@query("streamed_freshness_x6", """
+    WITH prev AS (SELECT cdn_region, file_id, lag(status) OVER w AS prev_status,
+      (epoch_us(date_trunc('second', ts)) - epoch_us(lag(date_trunc('second', ts)) OVER w)) / 1e6 AS age
+      FROM accesses WINDOW w AS (PARTITION BY cdn_region, file_id ORDER BY date_trunc('second', ts), event_id))
+    SELECT cdn_region, file_id, prev_status, age AS age_seconds, age > CASE prev_status WHEN 200 THEN 2592000
+      WHEN 304 THEN 2592000 WHEN 404 THEN 60 END AS stale FROM prev WHERE prev_status IS NOT NULL""")
+def streamed_freshness(spark, d):
+    out, st, checkpoint = (new_path(spark, n) for n in ("freshness", "state", "checkpoint"))
+
+    def start(path):
+        records = tail.tail_records(spark, path)
+        keyed = records.select("ts", "cdn_region", paths.object_id(c("path")).alias("file_id"),
+                               "status", F.xxhash64("remote_addr", "request", "body_bytes_sent",
+                                                    "http_user_agent", "status").alias("row_key"))
+        return state.stream_features(keyed, "row_key", out, st, checkpoint, carry=("status",))
+
+    _in_two_parts(spark, d, start)
+    return audits.stale_flags(spark.read.parquet(out)).select(
+        "cdn_region", "file_id", "prev_status", c("age_since_last_access").alias("age_seconds"), "stale")
+
+
 @query("streamed_frequencies_x8", """
     WITH a AS (SELECT *, dayofmonth(ts) <= 15 AS early, date_trunc('second', ts) AS s FROM accesses),
     clock AS (SELECT max(s) FILTER (early) AS t1, max(s) AS t2 FROM a),

@@ -53,7 +53,7 @@ def accesses_from(events: DataFrame, kind: Column) -> DataFrame:
     return events.withColumn("k", k).select(
         "event_id", "ts", "user_id", "k", name.alias("file_id"), path.alias("path"),
         F.when(image, "image").otherwise("video").alias("file_type"),
-        F.concat(F.lit("182.253.124."), F.col("user_id") % 254 + 1).alias("ip"),
+        F.concat(F.lit("192.0.2."), F.col("user_id") % 254 + 1).alias("ip"),
         F.lit("GET").alias("method"),
         F.when(kind == "signup", 304).when(kind == "purchase", 206).when(kind == "error", 404)
         .otherwise(200).alias("status"),
@@ -157,7 +157,7 @@ accesses AS (
     CASE WHEN k < 50 THEN '/static/images/image_' || k || '.jpg'
          ELSE '/static/videos/video_' || (k - 50) || '.mp4' END AS path,
     CASE WHEN k < 50 THEN 'image' ELSE 'video' END AS file_type,
-    '182.253.124.' || (user_id % 254 + 1) AS ip, 'GET' AS method,
+    '192.0.2.' || (user_id % 254 + 1) AS ip, 'GET' AS method,
     CASE event_type WHEN 'signup' THEN 304 WHEN 'purchase' THEN 206 WHEN 'error' THEN 404
          ELSE 200 END AS status,
     CASE event_type WHEN 'signup' THEN 'EXPIRED' WHEN 'purchase' THEN 'MISS'

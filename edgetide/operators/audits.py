@@ -40,7 +40,11 @@ def freshness(accesses: DataFrame, key: str, kind: str = "media", by=("cdn_regio
     How long an entry stays fresh depends on the status it was stored with; NULL where
     that status is not cached.
     """
-    trace = history(positioned(accesses, key, ts), by, ts, carry=("status",))
+    return stale_flags(history(positioned(accesses, key, ts), by, ts, carry=("status",)), kind)
+
+
+def stale_flags(trace: DataFrame, kind: str = "media") -> DataFrame:
+    """Freshness of rows that carry prev_status and their age, from a log or a stream."""
     valid = paths.one_of(F.col("prev_status"),
                          {s: n for (k, s), n in fixed.FRESH_SECONDS.items() if k == kind})
     return (trace.filter(F.col("prev_status").isNotNull())

@@ -76,6 +76,16 @@ def alternative_features(snapshot: DataFrame, as_of) -> DataFrame:
                 "stack_distance_approx": F.col("size") / (F.col("access_count") + 1)}))
 
 
+def hit_model_features(snapshot: DataFrame, as_of) -> DataFrame:
+    """The four features of the older hit model; its access count is a stand-in."""
+    rows = snapshot.withColumns({
+        "access_count": paths.underscores(F.col("file_id")),
+        "age_since_last_access": scores.age_seconds(F.col("last_access"), as_of),
+        "file_type": paths.keep_known_class(F.col("type"), fixed.BELADY_TYPES),
+        "log_file_size": scores.log_size_at_least_one(F.col("size"))})
+    return alphabetical_code(rows, "file_type", fixed.BELADY_TYPES, "file_type_encoded")
+
+
 def model_row(features: DataFrame, order=tuple(fixed.MODEL_FEATURES), keep=("file_id",)
               ) -> DataFrame:
     """The model's columns in its order; absent or NULL ones take their defaults."""

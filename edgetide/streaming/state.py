@@ -24,10 +24,11 @@ def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 
 
 def stream_features(records: DataFrame, key: str, out: str, state: str, checkpoint: str,
-                    by=("cdn_region", "file_id")):
+                    by=("cdn_region", "file_id"), carry: tuple[str, ...] = ()):
     """Running count, age, rate and recency of each access, over all batches.
 
-    ``key`` makes (ts, key) unique inside a batch.
+    ``key`` makes (ts, key) unique inside a batch.  Columns in ``carry`` come out as
+    ``prev_<column>``; with ``status`` the rows fit ``operators.audits.stale_flags``.
     """
     by = list(by)
 
@@ -35,9 +36,9 @@ def stream_features(records: DataFrame, key: str, out: str, state: str, checkpoi
         spark = batch.sparkSession
         old = _version(spark, state, number - 1)
         rows = trace.positioned(batch.withColumn("ts", utc(F.col("ts"))), key)
-        trace.history(rows, by, state=old).drop("_block").write.mode("overwrite").parquet(
+        trace.history(rows, by, carry=carry, state=old).drop("_block").write.mode("overwrite").parquet(
             f"{out}/batch={number}")
-        trace.object_state(rows, by, state=old).write.mode("overwrite").parquet(
+        trace.object_state(rows, by, carry=carry, state=old).write.mode("overwrite").parquet(
             f"{state}/version={number}")
 
     return (records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

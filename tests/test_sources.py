@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from edgetide.sources import access_logs, cache_indexes, catalogue, probes
 
-GOOD = ('182.253.124.7 - - [05/Jun/2025:10:11:12 +0000] "GET /static/images/image_4.jpg HTTP/1.1" '
+GOOD = ('192.0.2.7 - - [05/Jun/2025:10:11:12 +0000] "GET /static/images/image_4.jpg HTTP/1.1" '
         '200 12345 "https://site.example/images/trending" "Mozilla/5.0 Chrome/136"')
 
 
@@ -18,7 +18,7 @@ def test_plain_lines(spark):
     rows = [
         GOOD, "noise", GOOD.replace("05/Jun", "99/Foo"), GOOD.replace(".jpg", ".css"),
         GOOD.replace("image_4.jpg", "UP.JPG"), GOOD.replace(".jpg", ".jpg?v=1"),
-        GOOD.replace("image_4.jpg", "a.b.jpg"), GOOD.replace("182.253.124.7", "::1"),
+        GOOD.replace("image_4.jpg", "a.b.jpg"), GOOD.replace("192.0.2.7", "::1"),
         GOOD.replace(" - - ", " - bob "), GOOD.replace(" 12345 ", " - "),
         GOOD + ' "-" cache_status=HIT cdn_region=sea lat=- rt=0.004',
         GOOD.replace("+0000", "+0700"),
