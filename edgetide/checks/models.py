@@ -7,6 +7,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from edgetide.checks import query
+from edgetide.checks.eviction import cut_sql
 from edgetide.checks.views import AS_OF, LIMIT_MB, accesses, labelled_scores, predictions, snapshot
 from edgetide.operators import evaluation, eviction, models, snapshot as snapshots
 from edgetide.plans import evict, training
@@ -116,7 +117,7 @@ def learned_eviction_plan(spark, d):
     return evict.plan_lrb(found, LIMIT_MB, AS_OF).evicted.select("region", "file_id", "score", "rank")
 
 
-@query("model_bundle_round_trip_s13")
+@query("model_bundle_round_trip_s13", "SELECT region, file_id, true AS same FROM snapshot")
 def model_bundle_round_trip(spark, d):
     """Predictions of saved and loaded models beside those of the originals."""
     path = new_path(spark, "bundle")
@@ -125,7 +126,8 @@ def model_bundle_round_trip(spark, d):
     before = training.predict_snapshot(_bundle(spark, d), snapshot(spark, d), AS_OF)
     after = training.predict_snapshot(training.load_bundle(spark, path), snapshot(spark, d), AS_OF)
     return before.select(*keys, c("p").alias("p_before")).join(
-        after.select(*keys, c("p").alias("p_after")), keys)
+        after.select(*keys, c("p").alias("p_after")), keys).select(
+        *keys, (c("p_before") == c("p_after")).alias("same"))
 
 
 @query("model_listing_m21")
@@ -138,10 +140,15 @@ def feature_importance(spark, d):
     return models.feature_importance(_bundle(spark, d).models["binary"], spark)
 
 
-@query("alternative_feature_plan_m5_m11")
+_SHARE = "greatest(distance, 0) / max(greatest(distance, 0)) OVER (PARTITION BY region)"
+
+
+@query("alternative_feature_plan_m5_m11", cut_sql(
+    f"((1 - p) * 0.4 + {_SHARE} * 0.4 + (1 - least(greatest(reuse, 0), 1)) * 0.2)", "predictions") + """
+    SELECT region, file_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM evicted WHERE rank <= 10""")
 def alternative_feature_plan(spark, d):
     """Belady plan over the older feature set and type whitelist."""
     older = snapshots.alternative_features(predictions(spark, d), AS_OF)
     plan = evict.plan_belady(older, "lrb", LIMIT_MB, AS_OF)
     return eviction.recommendations(plan.evicted.drop("rank"), 10).select(
-        "region", "file_id", "score", "rank")
+        "region", "file_id", F.round("score", 6).alias("score"), "rank")

@@ -352,7 +352,9 @@ def render_log_line(spark, d):
     return plain_lines(spark, d).select("event_id", "value")
 
 
-@query("missing_features_u5")
+@query("missing_features_u5", """SELECT count(*) AS rows,
+    'access_rate,age_hours,age_since_last_access,log_file_size,recency_score,stack_distance_approx,type_encoded'
+      AS bare_lacks, '' AS full_lacks FROM snapshot""")
 def missing_features(spark, d):
     """Which model columns the bare and the enriched snapshot lack, beside their sizes."""
     bare = snapshot(spark, d)

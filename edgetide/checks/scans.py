@@ -167,13 +167,15 @@ def cache_index_sink(spark, d):
     return cache_indexes.read_index_lines(spark, path)
 
 
-@query("cache_folder_inventory_s9")
+@query("cache_folder_inventory_s9", """SELECT cdn_region, CAST(sum(strlen(value) + 1) AS BIGINT) AS bytes
+    FROM extended_lines GROUP BY ALL""")
 def cache_folder_inventory(spark, d):
     """Files of a folder written from the accesses, one sub-folder per region."""
     path = new_path(spark, "cache-folder")
     extended_lines(spark, d).select("value", "cdn_region").write.partitionBy("cdn_region").text(path)
-    return (cache_indexes.read_cache_folder(spark, path)
-            .filter(c("name").startswith("part-")).select("name", "hash", "size", "changed_at"))
+    files = cache_indexes.read_cache_folder(spark, path).filter(c("name").endswith(".txt"))
+    return (files.groupBy(F.regexp_extract("path", "cdn_region=([^/]+)/", 1).alias("cdn_region"))
+            .agg(F.sum("size").alias("bytes")))
 
 
 @query("probe_csv_scan_s10", """

@@ -74,5 +74,5 @@ def extended_log_line(plain_line: Column, cache_status: Column, cdn_region: Colu
     """The plain line with the cache, region and latency fields appended."""
     return F.concat(plain_line, F.lit(' "-" cache_status='), cache_status,
                     F.lit(" cdn_region="), cdn_region, F.lit(" lat="),
-                    F.coalesce(F.format_string("%.3f", lat), F.lit("-")),
+                    F.when(lat.isNull(), F.lit("-")).otherwise(F.format_string("%.3f", lat)),
                     F.lit(" rt="), F.format_string("%.3f", request_time))

@@ -68,19 +68,24 @@ def usable(accesses: DataFrame, statuses=None) -> DataFrame:
     return without_bots(ok_only(named_objects(accesses), statuses))
 
 
-def clean_accesses(accesses: DataFrame, row_key: str, strict_class: bool = False,
-                   at_least: int = fixed.MIN_OBJECT_ACCESSES, statuses=None,
-                   labelled: bool | None = None) -> DataFrame:
-    """Usable accesses of frequent objects, with their classes."""
-    kept = usable(accesses, statuses)
+def typed(accesses: DataFrame, strict_class: bool = False, labelled: bool | None = None
+          ) -> DataFrame:
+    """Add the content class, the numeric size and its logarithm, and the client class."""
     size = numeric_size(F.col("size"))
-    frequent = of_frequent_objects(kept, row_key, at_least)
-    return with_class(frequent, strict_class, labelled).withColumns({
+    return with_class(accesses, strict_class, labelled).withColumns({
         "size": size, "log_file_size": F.log1p(size),
         "client_type": clients.client_class(F.col("user_agent")),
     })
 
 
+def clean_accesses(accesses: DataFrame, row_key: str, strict_class: bool = False,
+                   at_least: int = fixed.MIN_OBJECT_ACCESSES, statuses=None,
+                   labelled: bool | None = None) -> DataFrame:
+    """Usable accesses with their classes, of objects that have enough of them."""
+    return of_frequent_objects(typed(usable(accesses, statuses), strict_class, labelled),
+                               row_key, at_least)
+
+
 def static_get_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """GET lines below /static/ with a media extension, as (path, type)."""
     request = F.split(F.get(F.split(F.col(line), '"'), F.lit(1)), r"\s+")

@@ -25,9 +25,9 @@ def training_table(accesses: DataFrame, key: str, window: int = fixed.LOOK_AHEAD
     """
     wanted = [c for c in (key, "ts", "file_id", "file_type", "size", "status", "user_agent")
               if c in accesses.columns]
-    usable = stage(cleaning.usable(accesses.select(*wanted)), "usable")
-    clean = cleaning.clean_accesses(usable, key).select(
-        key, "ts", "file_id", "type", "size", "log_file_size")
+    usable = stage(cleaning.typed(cleaning.usable(accesses.select(*wanted))).select(
+        key, "ts", "file_id", "type", "size", "log_file_size"), "usable")
+    clean = cleaning.of_frequent_objects(usable, key)
     base = trace.positioned(clean, key, blocks=blocks)
     rows = trace.look_ahead(trace.history(base), window, base=base)
     rows = trace.with_lru(rows, capacity, base=base)
