@@ -65,14 +65,14 @@ def train(docs: DataFrame, held_out) -> dict:
     totals = {(unit): {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("n")).collect()}
               for unit, rows in (("word", words),)}["word"]
     for unit, rows, most in (("word", words, WORDS), ("gram", grams, GRAMS)):
-        table: dict[str, np.ndarray] = {}
+        table: dict = {}
         for lang, text, n in _counted(rows, unit, most):
             table.setdefault(text, np.zeros(len(langs)))[langs.index(lang)] = n
         total = np.array([totals.get(x, 0) for x in langs], float)
         for text, counts in table.items():
             logs = np.log((counts + 0.1) / (total + 1))
             # only differences between languages matter, so every unit is centred
-            table[text] = logs - logs.mean()
+            table[text] = tuple((logs - logs.mean()).tolist())
         model[unit + "s"] = table
     tables.drop(words)
     return model
@@ -101,13 +101,14 @@ class Memo(dict):
         self[word] = k
         return k
 
-    def backoff(self, word: str) -> np.ndarray:
+    def backoff(self, word: str) -> list[float]:
         grams, padded = self.model["grams"], f" {word} "
         for size in LENGTHS:
             found = [grams[g] for i in range(len(padded) - size + 1) if (g := padded[i:i + size]) in grams]
             if found:
-                return WEIGHT[size] * np.mean(found, axis=0)
-        return np.zeros(self.scores.shape[1])
+                share = WEIGHT[size] / len(found)
+                return [share * sum(of_lang) for of_lang in zip(*found)]
+        return [0.0] * self.scores.shape[1]
 
 
 def _predict(model, keep: list[str], added: tuple[str, str]) -> Callable:

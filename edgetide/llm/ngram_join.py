@@ -107,9 +107,10 @@ TRIED = pa.schema([("token", pa.int64()), ("set", pa.int64()), ("n", pa.int32())
 
 
 def _stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (token, set), streamed: the sets of each shared token, and with them
-    the first sets of the same or a neighbouring size class.  Held at any time: the leaders
-    of one token."""
+    """Rows sorted by (token, pos, set), streamed: the sets of each shared token, and with
+    them the first sets of the same or a neighbouring size class.  Sets with few rarer shingles
+    come first: of edited copies, those closest to what was copied.  Held at any time: the
+    leaders of one token."""
     token, first, last, leaders = None, None, None, {}
 
     def steps():
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prefixes = docs.select("text").mapInArrow(
         _prefixes(rarity), "token long, set long, n int, pos int")
     shared = tables.stage(
-        prefixes.repartition("token").sortWithinPartitions("token", "set")
+        prefixes.repartition("token").sortWithinPartitions("token", "pos", "set")
         .mapInArrow(_stars, "token long, set long, n int, pos int, other long, m int, mpos int"), "shared")
     ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     tried = tables.stage(shared.filter(F.col("other").isNotNull() & close("n", "pos", "m", "mpos"))
