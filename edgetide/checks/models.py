@@ -145,10 +145,10 @@ _SHARE = "greatest(distance, 0) / max(greatest(distance, 0)) OVER (PARTITION BY
 
 @query("alternative_feature_plan_m5_m11", cut_sql(
     f"((1 - p) * 0.4 + {_SHARE} * 0.4 + (1 - least(greatest(reuse, 0), 1)) * 0.2)", "predictions") + """
-    SELECT region, file_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM evicted WHERE rank <= 10""")
+    SELECT region, file_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM evicted""")
 def alternative_feature_plan(spark, d):
     """Belady plan over the older feature set and type whitelist."""
     older = snapshots.alternative_features(predictions(spark, d), AS_OF)
     plan = evict.plan_belady(older, "lrb", LIMIT_MB, AS_OF)
-    return eviction.recommendations(plan.evicted.drop("rank"), 10).select(
-        "region", "file_id", F.round("score", 6).alias("score"), "rank")
+    return plan.evicted.select("region", "file_id", F.round("score", 6).alias("score"),
+                               F.col("rank").cast("int").alias("rank"))

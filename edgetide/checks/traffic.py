@@ -197,13 +197,17 @@ def object_days(spark, d):
     return traffic.per_day(accesses(spark, d))
 
 
-_DAYS = list(range(1, 31))
-
-
-@query("object_day_matrix_a29", "SELECT file_id, " + ", ".join(
-    f"count(*) FILTER (dayofmonth(ts) = {n}) AS d{n}" for n in _DAYS) + " FROM accesses GROUP BY ALL")
+@query("object_day_matrix_a29", """
+    WITH d AS (SELECT CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS DATE) AS day
+      FROM accesses),
+    o AS (SELECT DISTINCT file_id FROM accesses),
+    n AS (SELECT file_id, ts::DATE AS day, count(*) AS n FROM accesses GROUP BY ALL)
+    SELECT o.file_id, CAST((SELECT min(day) FROM d) AS VARCHAR) AS first_day,
+      string_agg(CAST(coalesce(n.n, 0) AS VARCHAR), ',' ORDER BY d.day) AS counts
+    FROM o CROSS JOIN d LEFT JOIN n ON n.file_id = o.file_id AND n.day = d.day GROUP BY o.file_id""")
 def object_day_matrix(spark, d):
-    return traffic.per_day_matrix(accesses(spark, d), _DAYS)
+    return traffic.per_day_matrix(accesses(spark, d)).select(
+        "file_id", F.col("first_day").cast("string").alias("first_day"), F.array_join("counts", ",").alias("counts"))
 
 
 _KIND = """CASE WHEN url LIKE '%.jpg%' THEN 'Images' WHEN url LIKE '%.mp4%' THEN 'Videos' ELSE 'Other' END"""

@@ -69,8 +69,12 @@ def lrb_parts(p: Column, distance: Column, reuse: Column, weights: dict | None =
 
 
 def lrb_score(p: Column, distance: Column, reuse: Column, weights: dict | None = None) -> Column:
+    """Sum of the parts whose model answered; NULL when none did."""
     parts = lrb_parts(p, distance, reuse, weights)
-    return parts["no_access"] + parts["distance"] + parts["no_reuse"]
+    # clipping would turn a missing answer into a number, so ask for the answer itself
+    known = [F.when(answer.isNotNull(), part) for answer, part in zip((p, distance, reuse), parts.values())]
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in known[1:]), F.coalesce(known[0], F.lit(0.0)))
+    return F.when(F.coalesce(*known).isNotNull(), total)
 
 
 def lrb_explanation(p: Column, distance: Column, reuse: Column,

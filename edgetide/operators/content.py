@@ -23,12 +23,16 @@ def items_per_group(content: DataFrame) -> DataFrame:
             .withColumn("title", paths.group_title(F.col("group"))))
 
 
-def apply_changes(content: DataFrame, changes: DataFrame) -> DataFrame:
+def apply_changes(content: DataFrame, changes: DataFrame, sequence: str | None = None) -> DataFrame:
     """Upsert and delete by id.
 
-    ``changes`` has the catalogue columns and ``deleted``; one row per id.  Unchanged
-    records pass through an anti join on the unique id.
+    ``changes`` has the catalogue columns and ``deleted``.  With ``sequence``, a column that
+    orders the changes of an id, the newest of each counts; without it there is one row per id.
+    Unchanged records pass through an anti join on the unique id.
     """
+    if sequence is not None:
+        changes = (changes.groupBy("id").agg(F.max_by(F.struct(*changes.columns), sequence).alias("c"))
+                   .select("c.*"))
     kept = content.join(changes.select("id"), "id", "left_anti")
     return kept.unionByName(changes.filter(~F.col("deleted")).drop("deleted")
                             .select(*content.columns))

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from edgetide.functions import fixed_values as fixed
 from edgetide.functions import scores
-from edgetide.operators.ordered import BLOCK, SLOT, offsets, order_blocks, with_rank
+from edgetide.operators.ordered import BLOCK, SLOT, join_same, offsets, order_blocks, with_rank
 from edgetide.operators.snapshot import frequency_statistics, over_limit
 from edgetide.staging import stage
 
@@ -33,33 +33,36 @@ def lfu_scored(with_frequency: DataFrame) -> DataFrame:
 
 
 def lrb_scored(features: DataFrame, weights: dict | None = None) -> DataFrame:
-    """Learned score from p, distance and reuse; the fallback where a region's are all 0."""
-    raw = features.withColumn("score", scores.lrb_score(
-        F.col("p"), F.col("distance"), F.col("reuse"), weights))
-    zero = stage(raw.groupBy("region").agg((F.max(F.abs("score")) == 0).alias("_all_zero")),
-                 "zero-regions")
+    """Learned score from p, distance and reuse.
+
+    The fallback counts where a region's scores are all 0, and for rows no model answered.
+    """
+    raw = stage(features.withColumn("score", scores.lrb_score(
+        F.col("p"), F.col("distance"), F.col("reuse"), weights)), "raw-scores")
+    zero = F.broadcast(raw.groupBy("region").agg(        # one row per region
+        (F.coalesce(F.max(F.abs("score")), F.lit(0.0)) == 0).alias("_all_zero")))
     plain = scores.fallback_score(F.col("age_since_last_access"), F.col("access_count"))
-    return (raw.join(zero, "region")
-            .withColumn("score", F.when(F.col("_all_zero"), plain).otherwise(F.col("score")))
+    return (join_same(raw, zero, ["region"])
+            .withColumn("score", F.when(F.col("_all_zero"), plain).otherwise(F.coalesce("score", plain)))
             .drop("_all_zero"))
 
 
 def belady_scored(features: DataFrame, strategy: str = "lrb", by=("region",)) -> DataFrame:
     """Relaxed-Belady score; distances are divided by the largest one of the region."""
-    cleaned = features.withColumns({
+    cleaned = stage(features.withColumns({
         "distance": scores.clean_distance(F.col("distance")),
-        "reuse": scores.clean_probability(F.col("reuse"))})
-    largest = stage(cleaned.groupBy(*by).agg(F.max("distance").alias("_max")), "max-distance")
-    return (cleaned.join(largest, list(by))
+        "reuse": scores.clean_probability(F.col("reuse"))}), "cleaned")
+    largest = cleaned.groupBy(*by).agg(F.max("distance").alias("_max"))
+    return (join_same(cleaned, largest, list(by))
             .withColumn("score", scores.belady_score(
                 strategy, F.col("p"), F.col("distance"), F.col("reuse"), F.col("_max")))
             .drop("_max"))
 
 
 def belady_fallback_scored(features: DataFrame, by=("region",)) -> DataFrame:
-    oldest = stage(features.groupBy(*by).agg(F.max("age_since_last_access").alias("_max")),
-                   "max-age")
-    return (features.join(oldest, list(by))
+    features = stage(features, "aged")
+    oldest = features.groupBy(*by).agg(F.max("age_since_last_access").alias("_max"))
+    return (join_same(features, oldest, list(by))
             .withColumn("score", scores.belady_fallback(
                 F.col("age_since_last_access"), F.col("access_count"), F.col("_max")))
             .drop("_max"))
@@ -75,11 +78,12 @@ def eviction_cut(scored: DataFrame, limit_mb: float = fixed.CACHE_LIMIT_MB,
     """
     targets = stage(over_limit(scored, limit_mb).filter(F.col("bytes_to_free") > 0)
                     .select("region", "bytes_to_free"), "targets")
-    wanted = scored.join(targets, "region")
+    wanted = join_same(scored, F.broadcast(targets), ["region"])     # one row per region
     by_score = F.asc("score") if ascending else F.desc("score")
     cut = order_blocks(wanted, ["region", by_score, "file_id"], blocks, "eviction")
     before = offsets(cut, ["region"], size=F.col("size"), n=F.lit(1))
-    started = (cut.join(before, ["region", BLOCK])
+    # one row per region and block in it
+    started = (join_same(cut, F.broadcast(before), ["region", BLOCK])
                .filter(F.col("before_size") < F.col("bytes_to_free")))
     inside = (Window.partitionBy("region", BLOCK).orderBy(SLOT)
               .rowsBetween(Window.unboundedPreceding, -1))
@@ -92,7 +96,7 @@ def eviction_cut(scored: DataFrame, limit_mb: float = fixed.CACHE_LIMIT_MB,
 
 
 def survivors(snapshot: DataFrame, evicted: DataFrame) -> DataFrame:
-    return snapshot.join(evicted.select("region", "file_id"), ["region", "file_id"], "left_anti")
+    return join_same(snapshot, evicted.select("region", "file_id"), ["region", "file_id"], "left_anti")
 
 
 def recommendations(scored: DataFrame, n: int, by=("region",)) -> DataFrame:

@@ -33,6 +33,19 @@ def _sort_columns(order: Sequence) -> list[Column]:
     return [F.col(o).asc() if isinstance(o, str) else o for o in order]
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL, so that rows with a NULL key aren't lost."""
+    renamed = right.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    condition = None
+    for k in keys:
+        one = left[k].eqNullSafe(renamed[f"_same_{k}"])
+        condition = one if condition is None else condition & one
+    joined = left.join(renamed, condition, how)
+    if how == "full_outer":
+        joined = joined.withColumns({k: F.coalesce(left[k], renamed[f"_same_{k}"]) for k in keys})
+    return joined if how == "left_anti" else joined.drop(*[f"_same_{k}" for k in keys])
+
+
 def order_blocks(df: DataFrame, order: Sequence, blocks: int | None = None,
                  label: str = "blocks") -> DataFrame:
     """``df`` in contiguous blocks of the given order, with ``_block`` and ``_slot``.
@@ -89,7 +102,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], order: Sequence, name: str = "
     """1-based row number inside ``keys``; a key may span any number of blocks."""
     cut = order_blocks(df, [*keys, *order], blocks)
     before = offsets(cut, keys, n=F.lit(1))
-    return (cut.join(before, [*keys, BLOCK])
+    return (join_same(cut, before, [*keys, BLOCK])
             .withColumn(name, F.col(SLOT) - F.col("first_slot") + F.col("before_n") + 1)
             .drop(BLOCK, SLOT, "first_slot", "before_n"))
 
@@ -101,7 +114,7 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence, value: str,
     before = offsets(cut, keys, total=F.col(value)).drop("first_slot")
     inside = (Window.partitionBy(*keys, BLOCK).orderBy(SLOT)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (cut.join(before, [*keys, BLOCK])
+    return (join_same(cut, before, [*keys, BLOCK])
             .withColumn(name, F.sum(value).over(inside) + F.col("before_total"))
             .drop(BLOCK, SLOT, "before_total"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgetide.functions import fixed_values as fixed
 from edgetide.functions import paths, responses, scores
+from edgetide.operators.ordered import join_same, with_position
 
 
 def index_from_log(accesses: DataFrame) -> DataFrame:
@@ -20,7 +21,9 @@ def index_from_log(accesses: DataFrame) -> DataFrame:
     ok = accesses.filter(F.col("status").isin(fixed.OK_STATUSES))
     shift = F.lit(10 ** 15).cast("decimal(16,0)")
     micros = paths.epoch_micros(F.col("ts")).cast("decimal(19,0)")
-    packed = F.max((micros * shift + F.col("size").cast("decimal(15,0)")).cast("decimal(38,0)"))
+    # the size is one more than it is, so that 0 stands for an unknown one
+    size = F.coalesce(F.col("size") + 1, F.lit(0)).cast("decimal(15,0)")
+    packed = F.max((micros * shift + size).cast("decimal(38,0)"))
     last = F.floor(F.col("_last") / shift)
     names = {code: name for name, code in fixed.CLASS_ORDINAL.items()}
     return (ok.groupBy(F.col("cdn_region").alias("region"), "file_id")
@@ -30,7 +33,8 @@ def index_from_log(accesses: DataFrame) -> DataFrame:
                     F.timestamp_add("MICROSECOND", last.cast("bigint"),
                                     F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
                     .alias("last_access"),
-                    F.pmod("_last", shift).cast("bigint").alias("size"), "access_count",
+                    (F.nullif(F.pmod("_last", shift).cast("bigint"), F.lit(0)) - 1).alias("size"),
+                    "access_count",
                     paths.one_of(F.col("_class"), names).alias("type")))
 
 
@@ -83,7 +87,7 @@ def hit_model_features(snapshot: DataFrame, as_of) -> DataFrame:
         "age_since_last_access": scores.age_seconds(F.col("last_access"), as_of),
         "file_type": paths.keep_known_class(F.col("type"), fixed.BELADY_TYPES),
         "log_file_size": scores.log_size_at_least_one(F.col("size"))})
-    return alphabetical_code(rows, "file_type", fixed.BELADY_TYPES, "file_type_encoded")
+    return alphabetical_code(rows, "file_type", "file_type_encoded")
 
 
 def model_row(features: DataFrame, order=tuple(fixed.MODEL_FEATURES), keep=("file_id",)
@@ -104,17 +108,12 @@ def missing_features(features: DataFrame, required=tuple(fixed.MODEL_FEATURES))
     return sorted(set(required) - set(features.columns))
 
 
-def alphabetical_code(rows: DataFrame, column: str, among=tuple(fixed.CLASS_ORDINAL),
-                      name: str = "code") -> DataFrame:
-    """0-based alphabetical rank of ``column`` over the values present.
-
-    ``among`` bounds the values (content classes), so presence is one flag per class,
-    found in one aggregate.
-    """
-    classes = sorted(among)
-    present = rows.select(F.array_sort(F.array_compact(F.array(*[
-        F.when(F.bool_or(F.col(column) == c), F.lit(c)) for c in classes])))).scalar()
-    return rows.withColumn(name, F.array_position(present, F.col(column)).cast("int") - 1)
+def alphabetical_code(rows: DataFrame, column: str, name: str = "code") -> DataFrame:
+    """0-based alphabetical rank of ``column`` over all values present; NULL has none."""
+    values = rows.select(F.col(column).alias("_value")).filter(F.col(column).isNotNull()).distinct()
+    codes = with_position(values, ["_value"], "_code")
+    return (rows.join(codes, F.col(column) == F.col("_value"), "left")
+            .withColumn(name, F.col("_code").cast("int")).drop("_value", "_code"))
 
 
 def bytes_in_use(snapshot: DataFrame) -> DataFrame:
@@ -147,7 +146,7 @@ def decay_and_merge(tracker: DataFrame, current: DataFrame, hours: Column | floa
     old = (tracker.withColumn("_old", scores.decayed(F.col("frequency"), hours))
            .filter(F.col("_old").isNotNull()).select(*keys, "_old"))
     new = current.select(*keys, F.col("frequency").alias("_new"))
-    return (old.join(new, list(keys), "full_outer")
+    return (join_same(old, new, list(keys), "full_outer")
             .select(*keys, F.greatest(F.coalesce("_old", F.lit(0.0)), F.coalesce("_new", F.lit(0.0)))
                     .alias("frequency")))
 

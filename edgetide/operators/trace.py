@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from edgetide.functions import fixed_values as fixed
 from edgetide.functions import paths
-from edgetide.operators.ordered import BLOCK, with_position
+from edgetide.operators.ordered import BLOCK, join_same, with_position
 from edgetide.staging import stage
 
 
@@ -47,14 +47,13 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
             by_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_seen"),
         F.lag("_last").over(by_block).alias("_carried"))
     if state is not None:
-        carried = carried.join(state, by, "left").select(
+        carried = join_same(carried, state, by, "left").select(
             *by, BLOCK, (F.col("_seen") + F.coalesce("state_count", F.lit(0))).alias("_seen"),
             F.coalesce("_carried", "state_last").alias("_carried"))
     inside = Window.partitionBy(*by, BLOCK).orderBy("pos")
-    rows = (trace
-            .withColumns({"_rn": F.row_number().over(inside),
-                          "_prev": F.lag(F.struct(*columns)).over(inside)})
-            .join(carried, [*by, BLOCK])
+    numbered = trace.withColumns({"_rn": F.row_number().over(inside),
+                                  "_prev": F.lag(F.struct(*columns)).over(inside)})
+    rows = (join_same(numbered, carried, [*by, BLOCK])
             .withColumns({"access_count": F.col("_rn") + F.col("_seen"),
                           "_prev": F.coalesce("_prev", "_carried")}))
     age = F.coalesce(paths.seconds_between(F.col(f"_prev.{ts}"), F.col(ts)).cast("double"),
@@ -71,7 +70,7 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
 
 def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
                  carry: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
-    """Count and last access per object, added to an earlier ``state``."""
+    """Count and last access per object, added to an earlier ``state``; the later access stays."""
     by = list(by)
     columns = [ts, *carry]
     part = trace.groupBy(*by).agg(
@@ -82,9 +81,11 @@ def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
     if state is None:
         return part
     old = state.select(*by, F.col("state_count").alias("_count"), F.col("state_last").alias("_last"))
-    return part.join(old, by, "full_outer").select(
+    late = F.col(f"state_last.{ts}") < F.col(f"_last.{ts}")
+    return join_same(part, old, by, "full_outer").select(
         *by, (F.coalesce("state_count", F.lit(0)) + F.coalesce("_count", F.lit(0)))
-        .alias("state_count"), F.coalesce("state_last", "_last").alias("state_last"))
+        .alias("state_count"),
+        F.when(late, F.col("_last")).otherwise(F.coalesce("state_last", "_last")).alias("state_last"))
 
 
 def look_ahead(trace: DataFrame, window: int = fixed.LOOK_AHEAD,

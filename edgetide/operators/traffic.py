@@ -176,10 +176,16 @@ def per_day(accesses: DataFrame, ts: str = "ts") -> DataFrame:
             .agg(F.count("*").alias("requests")))
 
 
-def per_day_matrix(accesses: DataFrame, days: list[int], ts: str = "ts") -> DataFrame:
-    """Object x day-of-month matrix; one column ``d<day>`` per given day, 0 when unused."""
-    return (accesses.groupBy("file_id")
-            .agg(*[F.count_if(F.dayofmonth(ts) == d).alias(f"d{d}") for d in days]))
+def per_day_matrix(accesses: DataFrame, ts: str = "ts") -> DataFrame:
+    """Object x day matrix over every date of the log: ``counts`` has one number per date from
+    ``first_day`` on, 0 where the object was not read."""
+    days = accesses.groupBy("file_id", F.to_date(ts).alias("day")).agg(F.count("*").alias("n"))
+    span = accesses.agg(F.min(F.to_date(ts)), F.max(F.to_date(ts))).first()
+    lo, hi = (F.lit(day).cast("date") for day in span)
+    per_object = days.groupBy("file_id").agg(F.map_from_entries(
+        F.collect_list(F.struct("day", "n"))).alias("by_day"))      # one entry per date
+    return per_object.select("file_id", lo.alias("first_day"), F.transform(
+        F.sequence(lo, hi), lambda d: F.coalesce(F.element_at("by_day", d), F.lit(0))).alias("counts"))
 
 
 def availability(probes: DataFrame, ts: str = "ts", slot: str = "30 seconds") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from edgetide.functions import fixed_values as fixed
 from edgetide.operators import eviction, snapshot as snapshots
+from edgetide.operators.ordered import join_same
 from edgetide.sources import cache_indexes
 from edgetide.staging import stage
 
@@ -36,7 +37,8 @@ class Plan:
 def _plan(policy: str, scored: DataFrame, as_of, limit_mb: float, ascending: bool = False) -> Plan:
     # scores feed the totals, the cut, the survivors and the metrics: write them once
     entries = stage(scored, "scored")
-    evicted = eviction.eviction_cut(entries, limit_mb, ascending)
+    # survivors, metrics and recommendations read the cut: write it once
+    evicted = stage(eviction.eviction_cut(entries, limit_mb, ascending), "evicted")
     return Plan(policy, entries, evicted, as_of, limit_mb)
 
 
@@ -50,7 +52,7 @@ def plan_lfu(snapshot: DataFrame, as_of, limit_mb: float = fixed.CACHE_LIMIT_MB,
     current = snapshots.with_frequency(snapshot, as_of)
     if tracker is not None:
         merged = snapshots.decay_and_merge(tracker, current, hours)
-        current = current.drop("frequency").join(merged, ["region", "file_id"])
+        current = join_same(current.drop("frequency"), merged, ["region", "file_id"])
     return _plan("LFU", eviction.lfu_scored(current), as_of, limit_mb)
 
 

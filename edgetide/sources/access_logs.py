@@ -115,4 +115,5 @@ def write_accesses_csv(accesses: DataFrame, path: str) -> None:
 def write_accesses(accesses: DataFrame, path: str) -> None:
     """Columnar form, one folder per day, for jobs that read a time range."""
     (accesses.withColumn("day", F.to_date("ts"))
+     .repartitionByRange("day", "file_id")      # few files a day, days of any size split
      .write.mode("overwrite").partitionBy("day").parquet(path))

@@ -44,7 +44,8 @@ def read_index_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def write_index_lines(entries: DataFrame, path: str) -> None:
     """Survivors per region; the commit protocol publishes all files or none."""
-    entries.write.mode("overwrite").partitionBy("region").json(path)
+    (entries.repartitionByRange("region", "file_id")
+     .write.mode("overwrite").partitionBy("region").json(path))
 
 
 def read_cache_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -35,13 +35,13 @@ def running_histogram(records: DataFrame, labels: Sequence[str], value: str) ->
     return running_aggregate(records, labels, counters.histogram_aggregates(F.col(value)))
 
 
-def write_changes(aggregate: DataFrame, path: str, checkpoint: str):
+def write_changes(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Start the stream of changed label sets into ``path``; stops when input is used up."""
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return (aggregate.writeStream.outputMode("update").foreachBatch(save)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
 def current_values(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
@@ -81,11 +81,11 @@ def residency_sessions(records: DataFrame, inactive: str, by=("cdn_region", "pat
             .drop("session_window"))
 
 
-def append_closed(frame: DataFrame, path: str, checkpoint: str):
+def append_closed(frame: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Write windows once the watermark has passed them."""
     return (frame.writeStream.outputMode("append").format("parquet")
             .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def dropped_rows(query) -> int:

@@ -24,7 +24,8 @@ def _version(spark: SparkSession, path: str, number: int) -> DataFrame | None:
 
 
 def stream_features(records: DataFrame, key: str, out: str, state: str, checkpoint: str,
-                    by=("cdn_region", "file_id"), carry: tuple[str, ...] = ()):
+                    by=("cdn_region", "file_id"), carry: tuple[str, ...] = (),
+                    trigger: dict | None = None):
     """Running count, age, rate and recency of each access, over all batches.
 
     ``key`` makes (ts, key) unique inside a batch.  Columns in ``carry`` come out as
@@ -42,11 +43,11 @@ def stream_features(records: DataFrame, key: str, out: str, state: str, checkpoi
             f"{state}/version={number}")
 
     return (records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def stream_frequencies(records: DataFrame, state: str, checkpoint: str,
-                       by=("cdn_region", "file_id")):
+                       by=("cdn_region", "file_id"), trigger: dict | None = None):
     """Decayed access frequency per object.
 
     The state's clock is event time: each batch's newest access is its ``as_of``, and
@@ -61,8 +62,10 @@ def stream_frequencies(records: DataFrame, state: str, checkpoint: str,
         as_of = current.agg(F.max("last_access")).first()[0]
         old = _version(spark, state, number - 1)
         if as_of is None:
-            if old is not None:
-                old.write.mode("overwrite").parquet(f"{state}/version={number}")
+            if old is None:      # nothing yet: an empty state, so that the next batch finds one
+                old = current.select(*by, F.lit(0.0).alias("frequency"), F.lit(None).cast(
+                    "timestamp_ntz").alias("decayed_at"))
+            old.write.mode("overwrite").parquet(f"{state}/version={number}")
             return
         age = scores.age_seconds(F.col("last_access"), as_of) / 3600.0
         fresh = current.withColumn("frequency",
@@ -79,7 +82,7 @@ def stream_frequencies(records: DataFrame, state: str, checkpoint: str,
             f"{state}/version={number}")
 
     return (records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
 
 
 def latest_version(spark: SparkSession, state: str) -> DataFrame:

@@ -22,8 +22,8 @@ def tail_records(spark: SparkSession, path: str, files_per_batch: int | None = N
     return access_logs.split_request(access_logs.parse_extended(lines, keep_instant=True))
 
 
-def json_debug(records: DataFrame, path: str, checkpoint: str):
+def json_debug(records: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
     """Every record as one JSON line; returns the started query."""
     return (records.select(F.to_json(F.struct("*")).alias("value")).writeStream.format("text")
             .option("checkpointLocation", checkpoint).option("path", path)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
