@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import (decontaminate, flow, language, licenses, line_dedup, mixing, ngram_join, quality,
-                          sharding, suffix_dedup, topk)
+from edgetide.llm import (decontaminate, flow, language, licenses, line_dedup, mixing, ngram_join, oracle,
+                          quality, sharding, suffix_dedup, topk)
 from edgetide.llm.flow import read
 
 SHARDS = 24
@@ -100,4 +100,4 @@ QUERIES = {
     "op9_suffix_dedup": _over(repeated_bytes, "documents"),
     "op10_licence_scan": _over(licence_scan, "documents"),
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = oracle.SQL
