@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import (decontaminate, flow, language, licenses, line_dedup, mixing, ngram_join, oracle,
-                          quality, sharding, suffix_dedup, topk)
+from edgetide.llm import (decontaminate, flow, hard_negatives, language, licenses, line_dedup, mixing, ngram_join,
+                          oracle, quality, sharding, suffix_dedup, topk)
 from edgetide.llm.flow import read
 
 SHARDS = 24
@@ -82,6 +82,12 @@ def licence_scan(docs: DataFrame) -> DataFrame:
         F.round("best_dice", 6).alias("best_dice"))
 
 
+def mined_negatives(vectors: DataFrame) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.select("vec_id", "embedding", moved.alias("label")),
+                               F.col("vec_id") % 100 == 0)
+
+
 def _over(step, *tables: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return step(*(read(spark, sf_dir, t) for t in tables))
@@ -99,5 +105,6 @@ QUERIES = {
     "op8_mixing": _over(mixture, "documents"),
     "op9_suffix_dedup": _over(repeated_bytes, "documents"),
     "op10_licence_scan": _over(licence_scan, "documents"),
+    "op11_hard_negatives": _over(mined_negatives, "embeddings"),
 }
 SQL: dict[str, str] = oracle.SQL
