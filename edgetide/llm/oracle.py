@@ -79,6 +79,32 @@ SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, posit
 FROM n WHERE rank <= 10"""
 
 
+def codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Lloyd's rounds written out, every part against every entry."""
+    nearest = """
+n{k} AS MATERIALIZED (SELECT vec_id, label, p, x, arg_min(i, (dist, i)) AS i, min(dist) AS dist FROM (
+    SELECT cut.*, b.i, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
+    FROM cut JOIN b{k} b USING (p)) GROUP BY ALL)"""
+    step = """,
+m{k} AS (SELECT p, i, list(CAST(floor(s / n) AS BIGINT) ORDER BY q) AS c FROM (
+    SELECT p, i, q, CAST(sum(x[q]) AS DOUBLE) AS s, count(*) AS n FROM n{k}, (SELECT unnest(range(1, (SELECT any_value(len(x)) FROM cut) + 1)) AS q)
+    GROUP BY ALL) GROUP BY p, i),
+b{next} AS MATERIALIZED (SELECT b{k}.p, b{k}.i, coalesce(m{k}.c, b{k}.c) AS c FROM b{k} LEFT JOIN m{k} USING (p, i)),"""
+    lloyd = "".join(nearest.format(k=k) + step.format(k=k, next=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+WITH v AS (SELECT vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
+cut AS MATERIALIZED (SELECT vec_id, label, p, e[p * (len(e) // {parts}) + 1:(p + 1) * (len(e) // {parts})] AS x
+  FROM (SELECT *, unnest(range({parts})) AS p FROM v)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, x AS c FROM cut
+  QUALIFY row_number() OVER (PARTITION BY p ORDER BY vec_id) <= {entries}),{lloyd},
+coded AS (SELECT vec_id, label, string_agg(lower(format('{{:02x}}', i)), '' ORDER BY p) AS code,
+    CAST(sum(dist) AS BIGINT) AS error FROM n{rounds} GROUP BY vec_id, label),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, i)) AS d FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, d AS codebooks_sha256
+FROM coded, digest"""
+
+
 def _round(half: str, key: int) -> str:
     x = f"(({half} + {key}) * 48271 % {sharding.PRIME})"
     y = f"(xor({x}, {x} >> 13) * 69621 % {sharding.PRIME})"
@@ -121,4 +147,5 @@ SQL = {
     "op4_line_dedup": LINES,
     "op7_topk": TOP_K,
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_vector_codes": codes(),
 }

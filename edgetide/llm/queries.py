@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import (decontaminate, flow, hard_negatives, language, licenses, line_dedup, mixing, ngram_join,
+from edgetide.llm import (codebooks, decontaminate, flow, hard_negatives, language, licenses, line_dedup, mixing, ngram_join,
                           oracle, quality, sharding, suffix_dedup, topk)
 from edgetide.llm.flow import read
 
@@ -88,6 +88,15 @@ def mined_negatives(vectors: DataFrame) -> DataFrame:
                                F.col("vec_id") % 100 == 0)
 
 
+def vector_codes(vectors: DataFrame) -> DataFrame:
+    codes, books = codebooks.compress(vectors)
+    digest = F.lit(None).cast("string")
+    for dim, book in books.items():
+        digest = F.when(F.col("dim") == dim, codebooks.digest(book)).otherwise(digest)
+    return codebooks.with_label_errors(codes).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def _over(step, *tables: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return step(*(read(spark, sf_dir, t) for t in tables))
@@ -106,5 +115,6 @@ QUERIES = {
     "op9_suffix_dedup": _over(repeated_bytes, "documents"),
     "op10_licence_scan": _over(licence_scan, "documents"),
     "op11_hard_negatives": _over(mined_negatives, "embeddings"),
+    "op12_vector_codes": _over(vector_codes, "embeddings"),
 }
 SQL: dict[str, str] = oracle.SQL
