@@ -60,9 +60,8 @@ STREAM_SCHEMA = pa.schema([("block", pa.int32()), ("page", pa.int32()), ("dim",
                            ("head", pa.binary()), ("body", pa.binary()), ("windows", pa.binary())])
 PACK = (1 << 31) - 1    # in place of a page number: after all pages
 BOX = "box int, dim int, first long, last long, low array<double>, high array<double>, wide array<double>"
-FOUND = "row long, anchor_id long, slot int, id long, score long"
-FOUND_SCHEMA = pa.schema([("row", pa.int64()), ("anchor_id", pa.int64()), ("slot", pa.int32()), ("id", pa.int64()),
-                          ("score", pa.int64())])
+FOUND = "row long, anchor_id long, id long, score long"
+FOUND_SCHEMA = pa.schema([(c, pa.int64()) for c in ("row", "anchor_id", "id", "score")])
 
 
 # --- summaries
@@ -214,6 +213,15 @@ class Best:
         self.slot, self.score, self.id = self.slot[order], self.score[order], self.id[order]
         self.kept = len(order)
 
+    def pairs(self, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(anchor, id, score) of every row that a slot of the anchor holds, once for all its slots."""
+        entry = np.stack([self.slot, self.score, self.id], axis=1)
+        fresh = np.r_[True, (entry[1:] != entry[:-1]).any(axis=1)][:len(entry)]
+        starts = np.flatnonzero(fresh)
+        copy = np.arange(len(entry)) - np.repeat(starts, np.diff(starts, append=len(entry)))
+        once = np.unique(np.stack([self.slot // slots, self.score, self.id, copy], axis=1), axis=0)
+        return once[:, 0], once[:, 2], once[:, 1]
+
 
 class Page:
     """A page with the summaries of its rows at all levels."""
@@ -320,19 +328,17 @@ def search(near: bool, k: int) -> Callable:
                 windows = np.frombuffer(r["windows"], np.int64).reshape(len(head), -1, 2)
                 best, _ = search_pages(pages, r["dim"], head, np.frombuffer(r["body"]).reshape(len(head), -1),
                                        windows, near, k)
-                slots = max(1, windows.shape[1])
-                anchor = best.slot // slots
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-                    (head[anchor, 0], head[anchor, 1], best.slot % slots, best.id, best.score), FOUND_SCHEMA)],
-                    schema=FOUND_SCHEMA)
+                anchor, ids, score = best.pairs(max(1, windows.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (
+                    head[anchor, 0], head[anchor, 1], ids, score)], schema=FOUND_SCHEMA)
     return run
 
 
 # --- the whole
 
-def _first(found: DataFrame, k: int) -> DataFrame:
-    """The first ``k`` of each (row, slot) over all blocks, with their ``rank``."""
-    order = Window.partitionBy("row", "slot").orderBy(F.desc("score"), "id")
+def _first(found: DataFrame, k: int, *by: str) -> DataFrame:
+    """The first ``k`` of each group over all blocks, with their ``rank``."""
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -386,16 +392,17 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     pages, blocks, boxes = laid_out(whole, tables)
     anchors = whole.filter("asks").drop("asks", "place")
     none = F.array().cast("array<long>")
-    near = tables.stage(_first(_round(pages, blocks, anchors.withColumns({"lows": none, "highs": none}), boxes, True,
-                                      positives), positives), "positives")
     share = F.col("score").cast("decimal(20,0)")
-    windows = near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(
-        "rank", F.ceil(share * low / 100).cast("long").alias("low"),
-        F.floor(share * high / 100).cast("long").alias("high")))).alias("w")).select(
-            "row", F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
-    far = _first(_round(pages, blocks, anchors.join(windows, "row"), boxes, False, negatives), negatives)
-    return far.select("row", (F.col("slot") + 1).alias("nth"), F.col("rank").cast("int").alias("rank"),
-                      F.col("id").alias("negative_id"), F.col("score").alias("negative_score")).join(
-        near.select("row", F.col("rank").alias("nth"), "anchor_id", F.col("id").alias("positive_id"),
-                    F.col("score").alias("positive_score")), ["row", "nth"]).select(
-        "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    near = tables.stage(
+        _first(_round(pages, blocks, anchors.withColumns({"lows": none, "highs": none}), boxes, True, positives),
+               positives, "row").withColumns({"low": F.ceil(share * low / 100).cast("long"),
+                                              "high": F.floor(share * high / 100).cast("long")}), "positives")
+    windows = near.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("rank", "low", "high"))).alias("w")) \
+        .select("row", F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
+    far = _round(pages, blocks, anchors.join(windows, "row"), boxes, False, negatives).drop("anchor_id")
+    each = far.join(near.select("row", "anchor_id", F.col("rank").alias("nth"), F.col("id").alias("positive_id"),
+                                F.col("score").alias("positive_score"), "low", "high"), "row").filter(
+        F.col("score").between(F.col("low"), F.col("high")))
+    return _first(each, negatives, "row", "nth").select(
+        "anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("negative_id"),
+        "positive_score", F.col("score").alias("negative_score"))
