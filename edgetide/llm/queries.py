@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from edgetide.llm import (codebooks, decontaminate, flow, hard_negatives, language, licenses, line_dedup, mixing, ngram_join,
-                          oracle, quality, sharding, suffix_dedup, topk)
+from edgetide.llm import (codebooks, decontaminate, flow, hard_negatives, language, licenses, line_dedup, mixing,
+                          ngram_join, oracle, personal_data, quality, sharding, suffix_dedup, topk)
 from edgetide.llm.flow import read
 
 SHARDS = 24
@@ -97,6 +97,13 @@ def vector_codes(vectors: DataFrame) -> DataFrame:
         F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def personal(docs: DataFrame) -> DataFrame:
+    counts = [personal_data.count(F.col("base"), kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return personal_data.find(docs).select(
+        "doc_id", *counts, F.sha2(F.encode(personal_data.listed(F.col("base")), "UTF-8"), 256).alias("base_sha256"),
+        personal_data.listed(F.concat("base", "added")).alias("spans"))
+
+
 def _over(step, *tables: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return step(*(read(spark, sf_dir, t) for t in tables))
@@ -116,5 +123,6 @@ QUERIES = {
     "op10_licence_scan": _over(licence_scan, "documents"),
     "op11_hard_negatives": _over(mined_negatives, "embeddings"),
     "op12_vector_codes": _over(vector_codes, "embeddings"),
+    "op13_personal_data": _over(personal, "documents"),
 }
 SQL: dict[str, str] = oracle.SQL
