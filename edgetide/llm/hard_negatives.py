@@ -81,19 +81,24 @@ def levels(dim: int) -> list[np.ndarray]:
 
 
 def summary(body: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Means and deviations of the segments, both times the root of the segment's length."""
+    """Means and deviations of the segments, both times the root of the segment's length.
+
+    Where a double overflows they are no numbers, and bounds made of them rule nothing out.
+    """
     length = np.diff(cuts).astype(float)
-    mean = np.add.reduceat(body, cuts[:-1], axis=1) / np.sqrt(length)
-    square = np.add.reduceat(body * body, cuts[:-1], axis=1)
-    return mean, np.sqrt(np.maximum(square - mean * mean, 0.0) + 1e-12 * square)
+    with np.errstate(over="ignore", invalid="ignore"):
+        mean = np.add.reduceat(body, cuts[:-1], axis=1) / np.sqrt(length)
+        square = np.add.reduceat(body * body, cuts[:-1], axis=1)
+        return mean, np.sqrt(np.maximum(square - mean * mean, 0.0) + 1e-12 * square)
 
 
 def box_bounds(mean: np.ndarray, wide: np.ndarray, low: np.ndarray, high: np.ndarray, most: np.ndarray
                ) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest product of each anchor (row) with any vector of each box (column)."""
     up, down = np.maximum(mean, 0), np.minimum(mean, 0)
-    spread = wide @ most.T
-    return up @ low.T + down @ high.T - spread, up @ high.T + down @ low.T + spread
+    with np.errstate(over="ignore", invalid="ignore"):
+        spread = wide @ most.T
+        return up @ low.T + down @ high.T - spread, up @ high.T + down @ low.T + spread
 
 
 # --- pages
@@ -232,7 +237,7 @@ class Page:
         self.levels = [summary(self.body, cuts) for cuts in levels(dim)]
         mean, wide = summary(self.body, edges(dim, LAID))
         self.low, self.high, self.wide = mean.min(axis=0), mean.max(axis=0), wide.max(axis=0)
-        self.big = np.abs(self.body).max(axis=1) ** 2 * dim >= EXACT
+        self.big = np.abs(self.body).max(axis=1) >= np.sqrt(EXACT / dim)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -287,7 +292,7 @@ def search_pages(pages: list[Page], dim: int, head: np.ndarray, body: np.ndarray
                  else (windows[:, :, 0], windows[:, :, 1]))
     real = low <= high
     cap = np.where(real, high, -LONG).max(axis=1)
-    big = np.abs(body).max(axis=1) ** 2 * dim >= EXACT
+    big = np.abs(body).max(axis=1) >= np.sqrt(EXACT / dim)
     own = [summary(body, cuts) for cuts in levels(dim)]
     least, most = box_bounds(*summary(body, edges(dim, LAID)), *(np.stack([getattr(p, c) for p in pages])
                                                                for c in ("low", "high", "wide")))
@@ -359,7 +364,8 @@ def laid_out(whole: DataFrame, tables: Tables) -> tuple[DataFrame, int, dict[int
     boxes: dict[int, dict] = {}
     for dim in {b["dim"] for b in merged}:
         own = [b for b in merged if b["dim"] == dim]
-        boxes[dim] = {c: np.array([b[c] for b in own]) for c in ("first", "last", "low", "high", "wide")}
+        boxes[dim] = {c: np.array([b[c] for b in own], t) for t, names in (
+            (np.int64, ("first", "last")), (float, ("low", "high", "wide"))) for c in names}
         boxes[dim] |= {"start": [b["box"] * per for b in own], "end": [(b["box"] + 1) * per for b in own]}
     return pages, blocks, boxes
 

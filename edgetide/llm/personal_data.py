@@ -54,6 +54,7 @@ SHAPE_HINTS = {"at": "@", "number": r"[0-9](?:[\x20().-]*+[0-9]){6}"}
 SHAPE_OF = {"email": "at", "ip": "number", "card": "number", "phone": "number"}
 
 LEAST_DIGITS = 7
+RUN = 256             # matches placed at a time
 CONTEXT = 60          # characters looked at on either side
 SUPPORT = 5           # distinct instances a pattern must have
 PRECISION = 0.8
@@ -89,23 +90,38 @@ def holds(kind: str, match: Column) -> Column:
     return n.between(9, 15) if kind == "phone" else n.between(13, 19) & luhn(digits(match))
 
 
-def located(pieces: Column, found: Column, keep: Callable, entry: Callable, schema: str) -> Column:
-    """``entry`` of each match that ``keep`` lets through, from the text split at the matches.
+def located(pieces: str, found: str, keep: Callable, entry: Callable, schema: str) -> Column:
+    """Runs of ``RUN`` matches: the length of each with the pieces before its matches, and ``entry`` of
+    every match that ``keep`` lets through, placed from the run's start.
 
-    ``pieces`` has one element more than ``found``; starts are running lengths.
+    ``pieces`` is the text split at the matches, one more than ``found``.  Both are columns, so that a
+    run takes slices of what was computed once.
     """
     start = F.struct(F.lit(0).alias("at"), F.array().cast(schema).alias("out"))
-    rows = F.zip_with(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
-                      F.slice(pieces, F.lit(2), F.size(pieces)),
-                      lambda r, after: F.struct(r["p"].alias("p"), r["m"].alias("m"), after.alias("after")))
 
     def step(acc: Column, r: Column) -> Column:
         begin = acc["at"] + F.length(r["p"])
-        new = F.array(entry(begin, begin + F.length(r["m"]), r)).cast(schema)
-        return F.struct((begin + F.coalesce(F.length(r["m"]), F.lit(0))).alias("at"),
-                        F.when(F.coalesce(keep(r["m"]), F.lit(False)), F.concat(acc["out"], new))
-                        .otherwise(acc["out"]).alias("out"))
-    return F.coalesce(F.aggregate(rows, start, step, lambda acc: acc["out"]), F.array().cast(schema))
+        end = begin + F.length(r["m"])
+        return F.struct(end.alias("at"), F.when(F.coalesce(keep(r["m"]), F.lit(False)), F.concat(
+            acc["out"], F.array(entry(begin, end, r)).cast(schema))).otherwise(acc["out"]).alias("out"))
+
+    def run(k: Column) -> Column:
+        here = k * RUN + 1
+        rows = F.zip_with(F.zip_with(F.slice(pieces, here, F.lit(RUN)), F.slice(found, here, F.lit(RUN)),
+                                     lambda p, m: F.struct(p.alias("p"), m.alias("m"))),
+                          F.slice(pieces, here + 1, F.lit(RUN)),
+                          lambda r, after: F.struct(r["p"].alias("p"), r["m"].alias("m"), after.alias("after")))
+        return F.aggregate(F.filter(rows, lambda r: r["m"].isNotNull()), start, step)
+    return F.when(F.size(found) > 0, F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), run))
+
+
+def joined(runs: str, shifted: Callable, schema: str) -> Column:
+    """The entries of all runs, placed in the text."""
+    starts = F.aggregate(F.slice(runs, 1, F.size(runs) - 1), F.array(F.lit(0)), lambda at, r: F.concat(
+        at, F.array(F.element_at(at, -1) + r["at"])))
+    placed = F.zip_with(runs, starts, lambda r, at: F.transform(r["out"], lambda e: shifted(e, at)))
+    return F.coalesce(F.when(F.size(runs) > 0, F.flatten(placed).cast(schema)), F.array().cast(schema))
 
 
 def read_texts(docs: DataFrame) -> DataFrame:
@@ -125,19 +141,25 @@ def read_texts(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "one", "two", *[c.alias(n) for n, c in cut.items()])
 
     def spans(k: int, kind: str) -> Column:
-        return located(F.col(f"{kind}_pieces"), F.col(f"{kind}_found"), partial(holds, kind),
-                       lambda a, b, r: F.struct(F.lit(k).alias("kind"), a.alias("start"), b.alias("end")), SPAN)
+        return located(f"{kind}_pieces", f"{kind}_found", partial(holds, kind), lambda a, b, r: F.struct(
+            F.lit(k).alias("kind"), a.alias("start"), b.alias("end")), SPAN)
 
     def slots(shape: str) -> Column:
         keep = (lambda m: m.isNotNull()) if shape == "at" else (
             lambda m: F.length(digits(m)) >= LEAST_DIGITS)
-        return located(F.col(f"{shape}_pieces"), F.col(f"{shape}_found"), keep, lambda a, b, r: F.struct(
+        return located(f"{shape}_pieces", f"{shape}_found", keep, lambda a, b, r: F.struct(
             a.alias("start"), b.alias("end"), r["m"].alias("surface"),
             F.right(r["p"], F.lit(CONTEXT)).alias("before"), F.left(r["after"], F.lit(CONTEXT)).alias("after")), SLOT)
 
-    return rows.select("doc_id", "one", "two", F.concat(*[spans(k, v) for k, v in enumerate(KINDS)]).alias("base"),
+    rows = rows.select("doc_id", "one", "two", *[spans(k, v).alias(v) for k, v in enumerate(KINDS)],
                        *[slots(s).alias(s) for s in SHAPES])
 
+    def shifted(e: Column, at: Column) -> Column:
+        return e.withField("start", e["start"] + at).withField("end", e["end"] + at)
+
+    return rows.select("doc_id", "one", "two", F.concat(*[joined(v, shifted, SPAN) for v in KINDS]).alias("base"),
+                       *[joined(s, shifted, SLOT).alias(s) for s in SHAPES])
+
 
 # --- the graph of patterns and instances
 
