@@ -38,7 +38,7 @@ def _in_two_parts(spark, d, start):
 def _running(spark, d, make, labels):
     out, checkpoint = new_path(spark, "running"), new_path(spark, "checkpoint")
     _in_two_parts(spark, d, lambda p: running.write_changes(
-        make(tail.tail_records(spark, p)), out, checkpoint))
+        make(tail.tail_records(spark, p)), labels, out, checkpoint))
     return running.current_values(spark, out, labels)
 
 
@@ -77,6 +77,21 @@ def running_durations(spark, d):
         "value_sum", F.round("value_sum", 6))
 
 
+@query("running_latencies_x2_a13", histogram_sql("method, status, cdn_region", "lat").replace(
+    "list(lat)", "list(lat) FILTER (lat IS NOT NULL)").replace("len(list_filter(v", "len(list_filter(coalesce(v, [])"))
+def running_latencies(spark, d):
+    wide = _running(spark, d, lambda r: running.running_histogram(
+        r, counters.LATENCY_LABELS, "lat"), counters.LATENCY_LABELS)
+    return counters.histogram_rows(wide, counters.LATENCY_LABELS).withColumn(
+        "value_sum", F.round("value_sum", 6))
+
+
+@query("running_cache_status_x1_a15", """SELECT method, status, cache_status, cdn_region, count(*) AS requests
+    FROM accesses GROUP BY ALL""")
+def running_cache_status(spark, d):
+    return _running(spark, d, lambda r: running.running_counter(r, counters.CACHE_LABELS), counters.CACHE_LABELS)
+
+
 _MARK = """WITH a AS (SELECT *, date_trunc('second', ts) AS s FROM accesses),
     mark AS (SELECT max(s) - INTERVAL '1 minute' AS mark FROM a)"""
 
@@ -187,7 +202,7 @@ def streamed_frequencies(spark, d):
         return state.stream_frequencies(records, st, checkpoint)
 
     _in_two_parts(spark, d, start)
-    return state.latest_version(spark, st).select(
+    return state.current_frequencies(spark, st).select(
         "cdn_region", "file_id", F.round("frequency", 6).alias("frequency"))
 
 

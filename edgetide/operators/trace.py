@@ -69,8 +69,11 @@ def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
 
 
 def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
-                 carry: tuple[str, ...] = (), state: DataFrame | None = None) -> DataFrame:
-    """Count and last access per object, added to an earlier ``state``; the later access stays."""
+                 carry: tuple[str, ...] = (), state: DataFrame | None = None, changed: bool = False) -> DataFrame:
+    """Count and last access per object, added to an earlier ``state``; the later access stays.
+
+    With ``changed``, only the objects of this trace.
+    """
     by = list(by)
     columns = [ts, *carry]
     part = trace.groupBy(*by).agg(
@@ -82,7 +85,7 @@ def object_state(trace: DataFrame, by=("file_id",), ts: str = "ts",
         return part
     old = state.select(*by, F.col("state_count").alias("_count"), F.col("state_last").alias("_last"))
     late = F.col(f"state_last.{ts}") < F.col(f"_last.{ts}")
-    return join_same(part, old, by, "full_outer").select(
+    return join_same(part, old, by, "left" if changed else "full_outer").select(
         *by, (F.coalesce("state_count", F.lit(0)) + F.coalesce("_count", F.lit(0)))
         .alias("state_count"),
         F.when(late, F.col("_last")).otherwise(F.coalesce("state_last", "_last")).alias("state_last"))

@@ -12,11 +12,29 @@ otherwise.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
+_scopes = threading.local()
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are deleted at the end: for steps that run again and again."""
+    outer, _scopes.paths = getattr(_scopes, "paths", None), []
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scopes.paths:
+            hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(conf).delete(hadoop_path, True)
+        _scopes.paths = outer
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -39,6 +57,8 @@ def new_path(spark: SparkSession, label: str) -> str:
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     files.deleteOnExit(hadoop_path)
+    if getattr(_scopes, "paths", None) is not None:
+        _scopes.paths.append(path)
     return path
 
 

@@ -1,9 +1,10 @@
 """Running counters and histograms, and interval samples with a watermark.
 
 Counters grow for the life of the stream, as their batch forms do over a whole log.
-Each batch writes only the label sets it changed, under its batch number; the newest
-row per label set is the current value.  A batch that is run again replaces its own
-folder, so results hold exactly once.
+Each batch writes only the label sets it changed into a compacted log of changes
+(``streaming.change_log``), whose newest row per label set is the current value; a batch
+that is run again is written once.  The running aggregates themselves are held in RocksDB on the
+executors' disks (``ON_DISK``), not in their heaps.
 """
 
 from __future__ import annotations
@@ -14,6 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.operators import counters
+from edgetide.streaming.change_log import ChangeLog
+
+ON_DISK = {"spark.sql.streaming.stateStore.providerClass":
+           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+           "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+
+
+def on_disk(spark: SparkSession) -> None:
+    """State of streams that are started from now on in RocksDB; a checkpoint keeps what it began with."""
+    for key, value in ON_DISK.items():
+        spark.conf.set(key, value)
 
 
 def running_aggregate(records: DataFrame, labels: Sequence[str], aggregates: Sequence[Column]
@@ -35,21 +47,20 @@ def running_histogram(records: DataFrame, labels: Sequence[str], value: str) ->
     return running_aggregate(records, labels, counters.histogram_aggregates(F.col(value)))
 
 
-def write_changes(aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+def write_changes(aggregate: DataFrame, labels: Sequence[str], path: str, checkpoint: str,
+                  trigger: dict | None = None):
     """Start the stream of changed label sets into ``path``; stops when input is used up."""
     def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        ChangeLog(batch.sparkSession, path, labels, checkpoint).append(number, batch)
 
+    on_disk(aggregate.sparkSession)
     return (aggregate.writeStream.outputMode("update").foreachBatch(save)
             .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())
 
 
-def current_values(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame:
-    """The newest row per label set."""
-    rows = spark.read.parquet(path)
-    values = [c for c in rows.columns if c not in (*labels, "batch")]
-    return (rows.groupBy(*labels).agg(F.max_by(F.struct(*values), "batch").alias("v"))
-            .select(*labels, "v.*"))
+def current_values(spark: SparkSession, path: str, labels: Sequence[str]) -> DataFrame | None:
+    """The newest row per label set; None before the first batch."""
+    return ChangeLog(spark, path, labels).current()
 
 
 def interval_counts(records: DataFrame, labels: Sequence[str], every: str = "10 seconds",
