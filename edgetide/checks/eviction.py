@@ -342,6 +342,54 @@ def index_after_eviction(spark, d):
     return cache_indexes.read_index_lines(spark, path).select(*KEY, "size", "type")
 
 
+# --- plans from index files -----------------------------------------------------------------
+
+def _from_index(policy, predict=None):
+    """Some entries lose their time or their size; what is left of the index afterwards."""
+    def run(spark, d):
+        from edgetide.checks.scans import index_fields, written_indexes
+        flaw = F.substring("file_id", 7, 9).cast("int") % 10
+        entries = index_fields(snapshot(spark, d)).withColumns({
+            "last_access": F.when(flaw == 3, F.lit('"never"')).otherwise(c("last_access")),
+            "size": F.when(flaw == 5, F.lit("0")).otherwise(c("size")),
+            "name": F.concat(F.lit("cache_index_"), "region", F.lit(".json"))})
+        path = new_path(spark, "index-next")
+        plan = evict.from_index(spark, written_indexes(spark, entries, "name").replace("name=*", "name=cache_index_*"),
+                                policy, AS_OF, 20, predict, path)
+        left = cache_indexes.read_index_lines(spark, path).select(*KEY, c("size").alias("bytes"), "last_access")
+        return left.withColumn("evicted", F.lit(False)).unionByName(plan.evicted.select(
+            *KEY, c("size").alias("bytes"), F.date_format("last_access", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+            .alias("last_access")).withColumn("evicted", F.lit(True)))
+    return run
+
+
+def _stand_in(rows):
+    return rows.withColumns({"p": (c("access_count") % 10) / 10.0, "distance": (c("size") / 100.0) % 400,
+                             "reuse": (c("access_count") % 7) / 5.0 - 0.1})
+
+
+def _index_sql(score):
+    """Valid entries are cut by score; the rest of the index stays as it was."""
+    return f"""
+  WITH flawed AS (SELECT * EXCLUDE (size, last_access), CAST(substr(file_id, 7) AS INTEGER) % 10 AS flaw,
+      CASE WHEN flaw = 5 THEN 0 ELSE size END AS size, last_access AS seen_at,
+      CASE WHEN flaw = 3 THEN 'never' ELSE strftime(last_access, '%Y-%m-%dT%H:%M:%S.%f') END AS last_access FROM snapshot),
+  valid AS (SELECT *, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(seen_at)) / 1e6 / 3600 AS age_hours,
+      (access_count % 10) / 10.0 AS p, (size / 100.0) % 400 AS distance, (access_count % 7) / 5.0 - 0.1 AS reuse
+    FROM flawed WHERE flaw NOT IN (3, 5) AND size > 0),
+  cut AS (SELECT *, sum(size) OVER (PARTITION BY region) - {20 * 1048576} AS target,
+      coalesce(sum(size) OVER (PARTITION BY region ORDER BY {score} DESC, file_id
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM valid),
+  gone AS (SELECT region, file_id FROM cut WHERE freed < target)
+  SELECT region, file_id, size AS bytes, last_access, gone.file_id IS NOT NULL AS evicted
+  FROM flawed LEFT JOIN gone USING (region, file_id)"""
+
+
+query("lru_from_index_m11_f7", _index_sql(LRU))(_from_index("LRU"))
+query("lfu_from_index_m11_f7", _index_sql(LFU))(_from_index("LFU"))
+query("lrb_from_index_m11_f7", _index_sql(LRB))(_from_index("LRB", _stand_in))
+
+
 # --- frequency state ------------------------------------------------------------------------
 
 _OLD = """WITH old AS (SELECT cdn_region AS region, file_id, count(*) / 200.0::DOUBLE AS frequency

@@ -129,10 +129,24 @@ def accesses_by_day_sink(spark, d):
             .agg(F.count("*").alias("requests"), F.sum("size").alias("bytes_sent")))
 
 
-def _index_objects(snap):
-    entry = F.struct(F.date_format("last_access", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-                     .alias("last_access"), "size", "type", "access_count")
-    return snap.withColumn("value", F.to_json(F.create_map("file_id", entry)))
+def written_indexes(spark, entries, by):
+    """Indented index files, some for each value of ``by``, as the edges write them."""
+    base = new_path(spark, "indexes")
+    fields = F.concat_ws(",\n", *[F.concat(F.lit(f'    "{n}": '), F.col(n)) for n in (
+        "last_access", "size", "type", "access_count")])
+    entry = F.concat(F.lit('  "'), "file_id", F.lit('": {\n'), fields, F.lit("\n  }"))
+    files = (entries.groupBy(c(by).alias("name"), F.pmod(F.xxhash64("file_id"), F.lit(16)).alias("part"))
+             .agg(F.concat(F.lit("{\n"), F.array_join(F.collect_list(entry), ",\n"), F.lit("\n}")).alias("value")))
+    files.write.partitionBy("name", "part").text(base)
+    return f"{base}/name=*/part=*"
+
+
+def index_fields(snap):
+    """The fields of an entry as JSON texts."""
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    return snap.select("region", "file_id", quoted(F.date_format("last_access", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+                       .alias("last_access"), c("size").cast("string").alias("size"), quoted(c("type")).alias("type"),
+                       c("access_count").cast("string").alias("access_count"))
 
 
 _INDEX = """strftime(last_access, '%Y-%m-%dT%H:%M:%S.%f') AS last_access, size, type, access_count,
@@ -141,20 +155,14 @@ _INDEX = """strftime(last_access, '%Y-%m-%dT%H:%M:%S.%f') AS last_access, size,
 
 @query("cache_index_scan_s6", f"SELECT region || '/' || file_id AS file_id, {_INDEX} FROM snapshot")
 def cache_index_scan(spark, d):
-    snap = snapshot(spark, d).withColumn("file_id", F.concat_ws("/", "region", "file_id"))
-    path = _written_text(_index_objects(snap), "index")
-    return cache_indexes.read_index(spark, path, whole_files=False)
+    snap = index_fields(snapshot(spark, d)).withColumn("file_id", F.concat_ws("/", "region", "file_id"))
+    return cache_indexes.read_index(spark, written_indexes(spark, snap, "region"))
 
 
 @query("regional_index_scan_s7", f"SELECT region, file_id, {_INDEX} FROM snapshot")
 def regional_index_scan(spark, d):
-    base = new_path(spark, "indexes")
-    snap = _index_objects(snapshot(spark, d))
-    for region in REGIONS:
-        snap.filter(c("region") == region).select("value").write.text(
-            f"{base}/cache_index_{region}.json")
-    return cache_indexes.read_regional_indexes(spark, f"{base}/cache_index_*.json",
-                                               whole_files=False)
+    named = index_fields(snapshot(spark, d)).withColumn("name", F.concat(F.lit("cache_index_"), "region", F.lit(".json")))
+    return cache_indexes.read_regional_indexes(spark, written_indexes(spark, named, "name"))
 
 
 @query("cache_index_sink_s8", f"SELECT region, file_id, {_INDEX} FROM snapshot")

@@ -206,25 +206,28 @@ def streamed_frequencies(spark, d):
         "cdn_region", "file_id", F.round("frequency", 6).alias("frequency"))
 
 
-@query("late_rows_x10", _MARK + """
-    SELECT count(*) AS windows, CAST(sum(n) AS BIGINT) AS requests, true AS some_dropped FROM (
-      SELECT time_bucket(INTERVAL '1 hour', s) AS w, cdn_region, count(*) AS n FROM a, mark
-      WHERE dayofmonth(s) > 15 AND time_bucket(INTERVAL '1 hour', s) + INTERVAL '1 hour' <= mark GROUP BY ALL)""")
+@query("late_rows_x10", _MARK + """,
+    early AS (SELECT *, time_bucket(INTERVAL '1 hour', s) AS w, dayofmonth(s) > 15 OR
+        time_bucket(INTERVAL '1 hour', s) + INTERVAL '1 hour' > mark AS on_time FROM a, mark),
+    whole AS (SELECT w AS window_start, cdn_region, count(*) AS requests, 'closed' AS kind FROM early
+      WHERE on_time AND w + INTERVAL '1 hour' <= mark GROUP BY ALL)
+    SELECT * FROM whole UNION ALL SELECT w, cdn_region, count(*), 'late' FROM early WHERE NOT on_time GROUP BY ALL""")
 def late_rows(spark, d):
     """Newest part first, so that the older part arrives behind the watermark."""
-    path, out, checkpoint = (new_path(spark, n) for n in ("late-log", "late", "checkpoint"))
+    path, out, late, checkpoint = (new_path(spark, n) for n in ("late-log", "counts", "late", "checkpoint"))
     lines = extended_lines(spark, d)
-    dropped = 0
     for part, rows in enumerate((lines.filter(F.dayofmonth("ts") > 15),
                                  lines.filter(F.dayofmonth("ts") <= 15))):
         rows.select("value").write.text(f"{path}/part={part}")
-        started = running.append_closed(running.interval_counts(
-            tail.tail_records(spark, f"{path}/*"), ["cdn_region"], "1 hour"), out, checkpoint)
+        started = running.count_intervals(tail.tail_records(spark, f"{path}/*"), ["cdn_region"], out, late,
+                                          checkpoint, "1 hour")
         started.awaitTermination()
-        dropped += running.dropped_rows(started)
-    return spark.read.parquet(out).agg(
-        F.count("*").alias("windows"), F.sum("requests").alias("requests")).withColumn(
-        "some_dropped", F.lit(dropped > 0))
+        if started.exception() is not None:
+            raise started.exception()
+    kept = running.late_rows(spark, late).groupBy(F.window("ts", "1 hour").start.alias("window_start"), "cdn_region").agg(
+        F.count("*").alias("requests"), F.lit("late").alias("kind"))
+    closed = running.interval_values(spark, out, ["cdn_region"], "1 hour").withColumn("kind", F.lit("closed"))
+    return closed.unionByName(kept).withColumn("window_start", utc(c("window_start")))
 
 
 @query("json_debug_sink_s17", """SELECT method, path, status, size AS body_bytes_sent, cache_status, cdn_region,

@@ -96,11 +96,18 @@ def static_get_lines(lines: DataFrame, line: str = "value") -> DataFrame:
             .filter(F.col("type") != "other"))
 
 
+def _is_valid() -> Column:
+    return F.coalesce(F.col("last_access").try_cast("timestamp_ntz").isNotNull() & (F.col("size") > 0), F.lit(False))
+
+
 def valid_entries(entries: DataFrame) -> DataFrame:
     """Snapshot rows with a parseable last access and a positive size."""
-    parsed = F.col("last_access").try_cast("timestamp_ntz")
-    return (entries.withColumn("last_access", parsed)
-            .filter(F.col("last_access").isNotNull() & (F.col("size") > 0)))
+    return entries.filter(_is_valid()).withColumn("last_access", F.col("last_access").try_cast("timestamp_ntz"))
+
+
+def broken_entries(entries: DataFrame) -> DataFrame:
+    """The other rows, as they are."""
+    return entries.filter(~_is_valid())
 
 
 def accept_or_retry(probes: DataFrame) -> DataFrame:

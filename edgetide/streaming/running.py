@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.operators import counters
+from edgetide.operators.ordered import join_same
+from edgetide.staging import scope, stage
 from edgetide.streaming.change_log import ChangeLog
 
 ON_DISK = {"spark.sql.streaming.stateStore.providerClass":
@@ -22,6 +24,9 @@ ON_DISK = {"spark.sql.streaming.stateStore.providerClass":
            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
+MARK_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+
+
 def on_disk(spark: SparkSession) -> None:
     """State of streams that are started from now on in RocksDB; a checkpoint keeps what it began with."""
     for key, value in ON_DISK.items():
@@ -65,8 +70,7 @@ def current_values(spark: SparkSession, path: str, labels: Sequence[str]) -> Dat
 
 def interval_counts(records: DataFrame, labels: Sequence[str], every: str = "10 seconds",
                     late: str = "1 minute") -> DataFrame:
-    """Requests per interval; a row later than the watermark is dropped and counted
-    by the query's progress (``numRowsDroppedByWatermark``)."""
+    """Requests per interval; a row later than the watermark is dropped (``count_intervals`` keeps it)."""
     return (records.withWatermark("ts", late)
             .groupBy(F.window("ts", every), *labels).agg(F.count("*").alias("requests"))
             .select(F.col("window.start").alias("window_start"), *labels, "requests"))
@@ -99,13 +103,51 @@ def append_closed(frame: DataFrame, path: str, checkpoint: str, trigger: dict |
             .trigger(**(trigger or {"availableNow": True})).start())
 
 
-def dropped_rows(query) -> int:
-    """Rows the query dropped as too late, over its kept progress records."""
-    return sum(int(op.get("numRowsDroppedByWatermark", 0))
-               for progress in query.recentProgress
-               for op in _as_dict(progress).get("stateOperators", []))
+def count_intervals(records: DataFrame, labels: Sequence[str], out: str, late_out: str, checkpoint: str,
+                    every: str = "10 seconds", late: str = "1 minute", trigger: dict | None = None):
+    """``interval_counts`` that keeps what comes too late.
+
+    A batch's watermark is the newest time of the batches before it, less ``late``.  Rows whose interval
+    ended by then are written to ``late_out`` as they are, under the batch's number; all others are
+    counted into a log of changes at ``out`` (``interval_values``).  Each row is in one of the
+    two, once, also when a batch is run again.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        log = ChangeLog(spark, out, ["window_start", *labels], checkpoint)
+        if log.has(number):
+            return
+        mark = log.facts.get("mark")
+        with scope(spark):
+            rows = stage(batch.withColumn("_window", F.window("ts", every)), "batch")
+            passed = F.lit(False) if mark is None else F.col("_window.end") <= F.lit(mark).cast("timestamp")
+            rows.filter(passed).drop("_window").write.mode("overwrite").parquet(f"{late_out}/batch={number}")
+            counts = rows.filter(~passed).groupBy(F.col("_window.start").alias("window_start"), *labels).agg(
+                F.count("*").alias("requests"))
+            old = log.current()
+            if old is not None:
+                open_ = old.filter(F.col("window_start") + F.expr(f"INTERVAL {every}") > F.lit(mark).cast("timestamp")) \
+                    if mark else old
+                counts = join_same(counts, open_.withColumnRenamed("requests", "_before"), log.keys, "left").select(
+                    *log.keys, (F.col("requests") + F.coalesce("_before", F.lit(0))).alias("requests"))
+            after = rows.agg(F.date_format(F.max("ts") - F.expr(f"INTERVAL {late}"), MARK_FORMAT)).first()[0]
+            log.append(number, counts, {"mark": max(filter(None, (mark, after)), default=None)})
+
+    return (records.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def interval_values(spark: SparkSession, out: str, labels: Sequence[str], every: str = "10 seconds",
+                    closed: bool = True) -> DataFrame | None:
+    """Counts per interval; with ``closed`` only of those the watermark has passed, which can't change."""
+    log = ChangeLog(spark, out, ["window_start", *labels])
+    rows = log.current()
+    if rows is None or not closed:
+        return rows
+    mark = F.lit(log.facts.get("mark")).cast("timestamp")
+    return rows.filter(F.col("window_start") + F.expr(f"INTERVAL {every}") <= mark)
 
 
-def _as_dict(progress) -> dict:
-    import json
-    return progress if isinstance(progress, dict) else json.loads(progress.json)
+def late_rows(spark: SparkSession, late_out: str) -> DataFrame:
+    """The rows that came too late, with the ``batch`` they came in."""
+    return spark.read.parquet(late_out)

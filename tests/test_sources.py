@@ -2,8 +2,11 @@
 
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from edgetide.plans import evict
 from edgetide.sources import access_logs, cache_indexes, catalogue, probes
 
 GOOD = ('192.0.2.7 - - [05/Jun/2025:10:11:12 +0000] "GET /static/images/image_4.jpg HTTP/1.1" '
@@ -81,6 +84,70 @@ def test_index_json(spark, tmp_path):
     assert cache_indexes.read_index(spark, str(tmp_path / "empty.json")).count() == 0
 
 
+ODD_KEYS = ["a", 'q"uote', "brace}", "line\n  },\n  {", "  },", "\u00e9 \U0001f600", "}}", ""]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3000])
+def test_large_index_is_split(spark, tmp_path, n):
+    index = {f"{ODD_KEYS[k % len(ODD_KEYS)]}{k}": {"last_access": "2025-06-05T10:11:12", "size": k, "type": "im}\n  },\n",
+                                                "access_count": k % 7} for k in range(n)}
+    (tmp_path / "cache_index_sea.json").write_text(json.dumps(index, indent=2))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        read = cache_indexes.read_regional_indexes(spark, str(tmp_path / "cache_index_*.json"))
+        assert n < 3000 or read.rdd.getNumPartitions() > 10
+        assert {r.file_id: (r.size, r.access_count, r.type, r.region) for r in read.collect()} == {
+            k: (v["size"], v["access_count"], v["type"], "sea") for k, v in index.items()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+@pytest.mark.parametrize("text", ["{}", "{\n}", " {} \n", "", '{"a": {"size": 1}}', '{"a": {"size": 1}, "b": {}}\n',
+                                  '{\n  "a": {}\n}', '{\n  "a": {},\n  "b": {\n    "size": 2\n  }\n}\n'])
+def test_index_layouts(spark, tmp_path, text):
+    (tmp_path / "index.json").write_text(text)
+    got = {r.file_id: r.size for r in cache_indexes.read_index(spark, str(tmp_path / "index.json")).collect()}
+    assert got == {k: v.get("size") for k, v in json.loads(text or "{}").items()}
+
+
+def index_rows(spark, n, tag):
+    return spark.range(n).selectExpr("concat('r', id % 2) region", "concat('f', id) file_id", "'t' last_access", "id size",
+                                     f"'{tag}' type", "id access_count")
+
+
+def test_index_is_published_whole_or_not(spark, tmp_path):
+    path = str(tmp_path / "index")
+    cache_indexes.write_index_lines(index_rows(spark, 50, "old"), path)
+    before = sorted(map(tuple, cache_indexes.read_index_lines(spark, path).collect()))
+    dies = index_rows(spark, 5000, "new").withColumn("type", F.expr("if(size = 4321, raise_error('killed'), type)"))
+    with pytest.raises(Exception, match="killed"):
+        cache_indexes.write_index_lines(dies, path)
+    assert sorted(map(tuple, cache_indexes.read_index_lines(spark, path).collect())) == before
+    reader = cache_indexes.read_index_lines(spark, path)
+    cache_indexes.write_index_lines(index_rows(spark, 20, "new"), path)
+    assert reader.count() == 50         # a reader of the old version is not disturbed
+    assert {r.type for r in cache_indexes.read_index_lines(spark, path).collect()} == {"new"}
+    for _ in range(3):
+        cache_indexes.write_index_lines(index_rows(spark, 5, "newer"), path)
+    assert len(list((tmp_path / "index" / "data").iterdir())) == 2
+
+
+def test_plan_from_index_files(spark, tmp_path):
+    entries = {f"f{k}": {"last_access": f"2025-06-0{k % 9 + 1}T00:00:00", "size": 400_000, "type": "image"} for k in range(8)}
+    entries |= {"bad": {"last_access": "never", "size": 9}, "none": {"size": 5}, "empty": {"last_access": "2025-06-01", "size": 0}}
+    (tmp_path / "cache_index_sea.json").write_text(json.dumps(entries, indent=2))
+    plan = evict.from_index(spark, str(tmp_path / "cache_index_*.json"), "LRU", "2025-07-01 00:00:00", 1,
+                            publish_to=str(tmp_path / "next"))
+    gone = {r.file_id for r in plan.evicted.collect()}
+    assert len(gone) == 6 and "f0" in gone and not gone & {"bad", "none", "empty"}
+    left = {r.file_id: r for r in cache_indexes.read_index_lines(spark, str(tmp_path / "next")).collect()}
+    assert set(left) == set(entries) - gone and left["bad"].last_access == "never" and left["none"].last_access is None
+    again = evict.from_index(spark, str(tmp_path / "next"), "LRU", "2025-07-01 00:00:00", 1)
+    assert again.evicted.count() == 0
+    with pytest.raises(ValueError):
+        evict.from_index(spark, str(tmp_path / "next"), "LRB", "2025-07-01 00:00:00", 1)
+
+
 def test_cache_folder_reads_no_content(spark, tmp_path):
     (tmp_path / "fc" / "90").mkdir(parents=True)
     (tmp_path / "fc" / "90" / ("0" * 30 + "fc")).write_bytes(b"12345")

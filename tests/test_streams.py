@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from edgetide.operators import trace
 from edgetide.sources.versions import Taken, Versions
-from edgetide.streaming import change_log, state
+from edgetide.streaming import change_log, running, state
 from edgetide.streaming.change_log import ChangeLog
 
 DAY = dt.datetime(2024, 1, 1)
@@ -170,3 +170,37 @@ def test_objects_are_forgotten(spark, tmp_path):
     where = [str(tmp_path / n) for n in ("out", "state", "checkpoint")]
     run(state.stream_features(stream_of(spark, tmp_path, rows), "key", *where, forget="5 days"))
     assert {r.key: r.access_count for r in spark.read.parquet(where[0]).collect()} == {1: 1, 2: 1, 3: 1}
+
+
+def test_late_rows_are_kept_and_counted(spark, tmp_path, monkeypatch):
+    batches, where = batches_of_accesses(24, seed=9), [str(tmp_path / n) for n in ("counts", "late", "checkpoint")]
+    real, calls = ChangeLog.append, []
+
+    def dies_once(log, *args):
+        calls.append(1)
+        if len(calls) == 10:        # after the late rows of that batch are written
+            raise OSError("killed")
+        real(log, *args)
+
+    monkeypatch.setattr(ChangeLog, "append", dies_once)
+    for attempt in range(2):
+        try:
+            run(running.count_intervals(stream_of(spark, tmp_path, batches), ["cdn_region"], *where, every="10 minutes"))
+        except Exception:
+            assert attempt == 0
+    counts, late, mark = defaultdict(int), set(), None
+    for rows in batches:
+        for region, _, ts, key in rows:
+            start = ts.replace(minute=ts.minute // 10 * 10, second=0)
+            if mark and start + dt.timedelta(minutes=10) <= mark:
+                late.add(key)
+            else:
+                counts[start, region] += 1
+        if rows:
+            mark = max(filter(None, (mark, max(r[2] for r in rows) - dt.timedelta(minutes=1))))
+    assert late and sorted(r.key for r in running.late_rows(spark, where[1]).collect()) == sorted(late)
+    got = {(r.window_start, r.cdn_region): r.requests for r in running.interval_values(
+        spark, where[0], ["cdn_region"], "10 minutes", closed=False).collect()}
+    assert got == counts
+    closed = running.interval_values(spark, where[0], ["cdn_region"], "10 minutes").collect()
+    assert {r.window_start for r in closed} == {w for w, _ in counts if w + dt.timedelta(minutes=10) <= mark}
