@@ -115,6 +115,28 @@ def lru_stack_position(spark, d):
         "event_id", "stack_distance_approx")
 
 
+@query("lru_per_region_w8_w9", f"""
+    WITH p AS (SELECT event_id, cdn_region, file_id, row_number() OVER w AS pos FROM accesses
+      WINDOW w AS (PARTITION BY cdn_region ORDER BY ts, event_id)),
+    q AS (SELECT *, lag(pos) OVER (PARTITION BY cdn_region, file_id ORDER BY pos) AS prev FROM p),
+    seen AS (SELECT *, count(*) FILTER (prev IS NULL) OVER (PARTITION BY cdn_region ORDER BY pos ROWS BETWEEN
+      UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM q),
+    others AS (SELECT i.cdn_region, i.pos, count(*) AS d FROM q i JOIN q j ON i.cdn_region = j.cdn_region
+      AND j.pos > i.prev AND j.pos < i.pos AND (j.prev IS NULL OR j.prev < i.prev) GROUP BY ALL),
+    d AS (SELECT seen.*, CASE WHEN prev IS NOT NULL THEN coalesce(d, 0) END AS d FROM seen
+      LEFT JOIN others USING (cdn_region, pos))
+    SELECT event_id, d AS distance, """ + ", ".join(f"""CAST(coalesce(d < {n}, false) AS INTEGER) AS hit_{n},
+      least(seen, {n}) + CASE WHEN d < {n} THEN -d ELSE 1 END AS stack_{n}""" for n in (5, CAPACITY, 60)) + " FROM d")
+def lru_per_region(spark, d):
+    """One cache per edge, three capacities from one table."""
+    by = ("cdn_region",)
+    log = accesses(spark, d).select("event_id", "ts", "cdn_region", "file_id")
+    rows = trace.stack_distances(trace.positioned(log, "event_id", blocks=BLOCKS, by=by), by)
+    for n in (5, CAPACITY, 60):
+        rows = trace.lru_columns(rows, n).withColumnsRenamed({"hit": f"hit_{n}", "stack_distance_approx": f"stack_{n}"})
+    return rows.select("event_id", "distance", *[f"{k}_{n}" for n in (5, CAPACITY, 60) for k in ("hit", "stack")])
+
+
 @query("object_accesses_a1", "SELECT file_id, count(*) AS accesses FROM accesses GROUP BY ALL")
 def object_accesses(spark, d):
     return accesses(spark, d).groupBy("file_id").agg(F.count("*").alias("accesses"))

@@ -9,9 +9,10 @@ small summary per (object, block).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from edgetide.functions import fixed_values as fixed
@@ -20,10 +21,10 @@ from edgetide.operators.ordered import BLOCK, join_same, with_position
 from edgetide.staging import stage
 
 
-def positioned(accesses: DataFrame, key: str, ts: str = "ts", blocks: int | None = None
+def positioned(accesses: DataFrame, key: str, ts: str = "ts", blocks: int | None = None, by=()
                ) -> DataFrame:
-    """The trace in time order with ``pos`` (0-based) and its block."""
-    return with_position(accesses, [ts, key], "pos", blocks, keep_block=True)
+    """The trace in time order with ``pos`` (0-based) and its block; with ``by``, one trace after another."""
+    return with_position(accesses, [*by, ts, key], "pos", blocks, keep_block=True)
 
 
 def history(trace: DataFrame, by=("file_id",), ts: str = "ts",
@@ -152,113 +153,107 @@ def smaller_before(values: np.ndarray) -> np.ndarray:
     return counts
 
 
-def replay_block(rows: pd.DataFrame, seed: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    """Hit flag and stack position of one block, given the cache before it.
+def _previous(trace: DataFrame, keys: list[str]) -> DataFrame:
+    """``_prev`` and ``_prev_block``: place and block of the object's previous access, -1 without one."""
+    summary = trace.groupBy(*keys, BLOCK).agg(F.max("pos").alias("_last"))
+    before = F.lag(F.struct("_last", BLOCK)).over(Window.partitionBy(*keys).orderBy(BLOCK))
+    carried = summary.select(*keys, BLOCK, before.alias("_carried"))
+    inside = F.lag("pos").over(Window.partitionBy(*keys, BLOCK).orderBy("pos"))
+    rows = join_same(trace.withColumn("_inside", inside), carried, [*keys, BLOCK])
+    return rows.withColumns({
+        "_prev": F.coalesce("_inside", "_carried._last", F.lit(-1)).cast("long"),
+        "_prev_block": F.when(F.col("_inside").isNotNull(), F.col(BLOCK))
+        .otherwise(F.coalesce(F.col(f"_carried.{BLOCK}"), F.lit(-1)))}).drop("_inside", "_carried")
+
+
+def _earlier_cells(rows: DataFrame) -> DataFrame:
+    """(_prev_block, _block, _cells): rows in strictly earlier blocks of both kinds, for each cell in use.
 
-    ``seed`` holds the most recent objects before the block, at most ``capacity``.
-    An object outside the seed has at least ``capacity`` others since its last access,
-    so it misses whatever its exact distance is.
+    The grid has a cell per pair of blocks, whatever the trace's length; its two running sums are
+    windows over one row or column of it.
     """
-    rows = rows.sort_values("pos", ignore_index=True)
-    seed = seed.sort_values("last_pos", ignore_index=True)
-    objects = pd.concat([seed["file_id"], rows["file_id"]], ignore_index=True)
-    codes = pd.factorize(objects)[0]
-    n = len(codes)
-    order = np.argsort(codes, kind="stable")
-    prev = np.full(n, -1, dtype=np.int64)
-    same = codes[order][1:] == codes[order][:-1]
-    prev[order[1:][same]] = order[:-1][same]
-    # distinct objects strictly between: earlier rows whose own previous is older,
-    # less the rows up to and including the previous access
-    between = smaller_before(prev) - (prev + 1)
-    first = prev < 0
-    seen = np.cumsum(first) - first
-    occupied = np.minimum(seen, capacity)
-    hit = ~first & (between < capacity)
-    stack = np.where(hit, occupied - between, occupied + 1)
-    k = len(seed)
-    return pd.DataFrame({"pos": rows["pos"], "hit": hit[k:].astype("int32"),
-                         "stack_distance_approx": stack[k:].astype("int64")})
-
-
-def _recent(blocks: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    return (blocks.sort_values("last_pos", ascending=False)
-            .drop_duplicates("file_id").head(capacity))
-
-
-def _top_recent(rows: DataFrame, capacity: int) -> DataFrame:
-    """The ``capacity`` most recent objects per ``at``, from rows with repeats."""
-    newest = rows.groupBy("at", "file_id").agg(F.max("last_pos").alias("last_pos"))
-    order = Window.partitionBy("at").orderBy(F.desc("last_pos"))
-    return (newest.withColumn("_r", F.row_number().over(order))
-            .filter(F.col("_r") <= capacity).drop("_r"))
-
-
-def _fold_before(summary: DataFrame, n: int, capacity: int, task_rows: int) -> DataFrame:
-    """For each place 0 .. n-1 the most recent objects of all summaries before it.
-
-    Runs of places are folded in one task each, at most about ``task_rows`` rows; the
-    runs' own totals are folded the same way, in as many levels as that takes.
+    cells = stage(rows.groupBy(BLOCK, "_prev_block").agg(F.count("*").alias("_n")), "cells")
+    last = cells.agg(F.coalesce(F.max(BLOCK), F.lit(-1))).first()[0]
+    grid = rows.sparkSession.range(last + 1).select(
+        F.col("id").cast("int").alias(BLOCK), F.explode(F.sequence(F.lit(-1), F.lit(last))).alias("_prev_block"))
+    before = lambda key, order: (Window.partitionBy(key).orderBy(order)
+                                 .rowsBetween(Window.unboundedPreceding, -1))
+    return (grid.join(cells, [BLOCK, "_prev_block"], "left")
+            .withColumn("_above", F.coalesce(F.sum("_n").over(before("_prev_block", BLOCK)), F.lit(0)))
+            .withColumn("_cells", F.coalesce(F.sum("_above").over(before(BLOCK, "_prev_block")), F.lit(0)))
+            .filter(F.col("_n").isNotNull() & (F.col("_prev_block") >= 0)).select("_prev_block", BLOCK, "_cells"))
+
+
+def _longs(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(n).to_numpy().astype(np.int64) for n in names]
+
+
+def _same_block(table: pa.Table) -> pa.Table:
+    """Rows of one block: earlier ones whose previous access lies in an earlier block."""
+    pos, prev_block = _longs(table, "pos", "_prev_block")
+    order = np.argsort(pos)
+    counts = np.empty(len(order), np.int64)
+    counts[order] = smaller_before(prev_block[order])
+    return table.append_column("_inside", pa.array(counts))
+
+
+def _same_previous(rows: pa.Table, cells: pa.Table) -> pa.Table:
+    """Rows with their previous access in one block: the distance, all three parts added up."""
+    pos, prev, block, inside = _longs(rows, "pos", "_prev", BLOCK, "_inside")
+    order = np.argsort(prev)
+    counts = np.empty(len(order), np.int64)
+    counts[order] = smaller_before(pos[order])
+    known, value = _longs(cells, BLOCK, "_cells")
+    sort = np.argsort(known)
+    counts += inside + value[sort][np.searchsorted(known[sort], block)]
+    # up to and including the previous access every row counts, and none is strictly between
+    return rows.append_column("distance", pa.array(counts - (prev + 1)))
+
+
+def stack_distances(trace: DataFrame, by=(), name: str = "file_id") -> DataFrame:
+    """``distance``: distinct other objects since the object's previous access (NULL on its first), and
+    ``seen``: distinct objects before the row.  Each trace of ``by`` is a cache of its own.
+
+    An LRU cache of C objects has a hit where ``distance < C``, so one table serves every capacity.
+
+    The distance is the number of earlier rows with an earlier previous access, less those up to the
+    own previous one.  It is counted in three parts: rows in earlier blocks with the previous access
+    in an earlier block (totals per pair of blocks), rows of the same block, and rows with the
+    previous access in the same block.  No group is larger than a block: a place is the
+    previous one of at most one row.  Python gets the numbers; other columns pass through as Arrow buffers.
     """
-    span = max(2, task_rows // capacity)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, state = [], pdf.iloc[:0][["file_id", "last_pos"]]
-        run = int(pdf["run"].iloc[0])
-        groups = {at: g[["file_id", "last_pos"]] for at, g in pdf.groupby("at")}
-        for at in range(run * span, min(run * span + span, n)):
-            out.append(state.assign(at=at))
-            if at in groups:
-                state = _recent(pd.concat([groups[at], state]), capacity)
-        out.append(state.assign(at=-1))
-        return pd.concat(out).assign(run=run)[["run", "at", "file_id", "last_pos"]]
-
-    runs = summary.withColumn("run", F.floor(F.col("at") / span).cast("int"))
-    folded = stage(runs.groupBy("run").applyInPandas(
-        fold, "run int, at int, file_id string, last_pos long"), "lru-fold")
-    inside = folded.filter(F.col("at") >= 0)
-    if n <= span:
-        return inside.drop("run")
-    totals = folded.filter(F.col("at") == -1).select(F.col("run").alias("at"), "file_id", "last_pos")
-    n_runs = (n + span - 1) // span
-    before_run = _fold_before(totals, n_runs, capacity, task_rows)
-    spread = before_run.select(
-        F.explode(F.sequence(F.col("at") * span, F.least((F.col("at") + 1) * span, F.lit(n)) - 1))
-        .alias("at"), "file_id", "last_pos")
-    return _top_recent(spread.unionByName(inside.drop("run")), capacity)
-
-
-def cache_before_blocks(trace: DataFrame, capacity: int, task_rows: int = 2_000_000) -> DataFrame:
-    """(block, file_id, last_pos): the ``capacity`` most recent objects before each block."""
-    latest = trace.select(F.col(BLOCK).alias("at"), "file_id", F.col("pos").alias("last_pos"))
-    summary = stage(_top_recent(latest, capacity), "lru-summary")
-    last = summary.agg(F.max("at")).first()[0]
-    if last is None:
-        return summary.withColumnRenamed("at", BLOCK)
-    return _fold_before(summary, last + 1, capacity, task_rows).withColumnRenamed("at", BLOCK)
-
-
-def lru_replay(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS,
-               task_rows: int = 2_000_000) -> DataFrame:
-    """(pos, hit, stack_distance_approx) for an LRU cache of ``capacity`` objects.
+    rows = stage(_previous(trace, [*by, name]), "previous")
+    first = (F.col("_prev") < 0).cast("long")
+    totals = rows.groupBy(*by, BLOCK).agg(F.sum(first).alias("_firsts"))
+    earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    seen = totals.select(*by, BLOCK, F.coalesce(F.sum("_firsts").over(earlier), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*by, BLOCK).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    counted = (join_same(rows.withColumn("_own", F.coalesce(F.sum(first).over(within), F.lit(0))),
+                         stage(seen, "seen"), [*by, BLOCK])
+               .withColumn("seen", F.col("_own") + F.col("_before")).drop("_own", "_before"))
+    schema = StructType(counted.schema.fields + [StructField("_inside", LongType())])
+    counted = stage(counted.groupBy(BLOCK).applyInArrow(_same_block, schema), "same-block")
+    schema = StructType(counted.schema.fields + [StructField("distance", LongType())])
+    again = (counted.filter(F.col("_prev") >= 0).groupBy("_prev_block")
+             .cogroup(_earlier_cells(rows).groupBy("_prev_block")).applyInArrow(_same_previous, schema))
+    new = counted.filter(F.col("_prev") < 0).withColumn("distance", F.lit(None).cast("long"))
+    return again.unionByName(new).drop("_prev", "_prev_block", "_inside")
+
+
+def lru_columns(rows: DataFrame, capacity: int = fixed.CACHE_OBJECTS) -> DataFrame:
+    """hit and stack_distance_approx for a cache of ``capacity`` objects, from ``stack_distances``.
 
     On a hit the stack position counts from the least recent end, starting at 1; on a
     miss it is the occupancy plus 1.
     """
-    seeds = cache_before_blocks(trace, capacity, task_rows)
-
-    def play(rows: pd.DataFrame, seed: pd.DataFrame) -> pd.DataFrame:
-        return replay_block(rows, seed, capacity)
-
-    return (trace.select(BLOCK, "pos", "file_id").groupBy(BLOCK)
-            .cogroup(seeds.groupBy(BLOCK))
-            .applyInPandas(play, "pos long, hit int, stack_distance_approx long"))
+    occupied, hit = F.least("seen", F.lit(capacity)), F.coalesce(F.col("distance") < capacity, F.lit(False))
+    return rows.withColumns({"hit": hit.cast("int"), "stack_distance_approx": F.when(
+        hit, occupied - F.col("distance")).otherwise(occupied + 1).cast("long")})
 
 
-def with_lru(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS,
-             base: DataFrame | None = None) -> DataFrame:
-    """Add hit and stack_distance_approx; ``base`` as in ``look_ahead``."""
-    return trace.join(lru_replay(trace if base is None else base, capacity), "pos")
+def with_lru(trace: DataFrame, capacity: int = fixed.CACHE_OBJECTS, by=()) -> DataFrame:
+    """Add hit and stack_distance_approx."""
+    return lru_columns(stack_distances(trace, by), capacity).drop("distance", "seen")
 
 
 def training_statistics(labelled: DataFrame) -> DataFrame:

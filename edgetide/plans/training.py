@@ -28,9 +28,8 @@ def training_table(accesses: DataFrame, key: str, window: int = fixed.LOOK_AHEAD
     usable = stage(cleaning.typed(cleaning.usable(accesses.select(*wanted))).select(
         key, "ts", "file_id", "type", "size", "log_file_size"), "usable")
     clean = cleaning.of_frequent_objects(usable, key)
-    base = trace.positioned(clean, key, blocks=blocks)
+    base = stage(trace.with_lru(trace.positioned(clean, key, blocks=blocks), capacity), "lru")
     rows = trace.look_ahead(trace.history(base), window, base=base)
-    rows = trace.with_lru(rows, capacity, base=base)
     rows = rows.withColumn("type_encoded", paths.class_ordinal(F.col("type")))
     return stage(models.with_split(rows, key), "training")
 

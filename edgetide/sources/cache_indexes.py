@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgetide.functions import responses
+from edgetide.sources.cache_folder import CacheFolder
 from edgetide.sources.versions import Versions
 
 ENTRY = ("STRUCT<last_access: STRING, size: BIGINT, type: STRING, access_count: BIGINT, "
@@ -78,18 +81,24 @@ def write_index_lines(entries: DataFrame, path: str) -> None:
     versions.publish(number, {"folders": [folder]})
 
 
-def read_cache_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a cache folder: path, size and change time.
+def read_cache_folder(spark: SparkSession, path: str, levels: int = 1) -> DataFrame:
+    """Files below a cache folder: path, size, times of the last change and access, error.
 
-    File contents are never read.  Spark lists the change time, not the access time;
-    take the last access from the log (``operators.snapshot.index_from_log``).
+    File contents are never read.  A folder on a mount is listed by the tasks, one for each folder
+    ``levels`` down (``sources.cache_folder``); a file that vanished meanwhile has an ``error`` and no
+    size.  On an object store Spark lists it, which knows no access times: take those from the log
+    (``operators.snapshot.index_from_log``).
     """
-    listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-              .load(path).select("path", "length", "modificationTime"))
-    name = F.substring_index("path", "/", -1)
+    if re.match(r"/|file:|[^:/]+/|[^:/]+$", path):
+        spark.dataSource.register(CacheFolder)
+        listed = spark.read.format("cache_folder").option("levels", levels).load(path)
+    else:
+        listed = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+                  .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("changed_at"),
+                          F.lit(None).cast("timestamp").alias("accessed_at"), F.lit(None).cast("string").alias("error")))
     return listed.select(
-        "path", name.alias("name"), responses.hash_of_cached_path(F.col("path")).alias("hash"),
-        F.col("length").alias("size"), F.col("modificationTime").alias("changed_at"))
+        "path", F.substring_index("path", "/", -1).alias("name"),
+        responses.hash_of_cached_path(F.col("path")).alias("hash"), "size", "changed_at", "accessed_at", "error")
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:

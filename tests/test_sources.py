@@ -1,13 +1,14 @@
 """Edge rows of the scans."""
 
 import json
+import os
 
 import pytest
 
 from pyspark.sql import functions as F
 
 from edgetide.plans import evict
-from edgetide.sources import access_logs, cache_indexes, catalogue, probes
+from edgetide.sources import access_logs, cache_folder, cache_indexes, catalogue, probes
 
 GOOD = ('192.0.2.7 - - [05/Jun/2025:10:11:12 +0000] "GET /static/images/image_4.jpg HTTP/1.1" '
         '200 12345 "https://site.example/images/trending" "Mozilla/5.0 Chrome/136"')
@@ -154,7 +155,37 @@ def test_cache_folder_reads_no_content(spark, tmp_path):
     got = cache_indexes.read_cache_folder(spark, str(tmp_path))
     row = got.first()
     assert row.size == 5 and row.hash == "0" * 30 + "fc"
-    assert "content" not in got._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in got.columns and row.error is None and row.accessed_at is not None
+
+
+def test_cache_folder_is_listed_by_tasks(spark, tmp_path):
+    for k in range(30):
+        folder = tmp_path / f"{k % 5:02x}" / f"{k % 3:02x}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"file{k}").write_bytes(b"x" * k)
+    (tmp_path / "top").write_text("top")
+    (tmp_path / "00" / "gone").symlink_to(tmp_path / "nowhere")
+    for levels, parts in ((1, 6), (2, 21), (0, 1)):
+        got = cache_indexes.read_cache_folder(spark, str(tmp_path), levels)
+        assert got.rdd.getNumPartitions() == parts
+        sizes = {r.name: r.size for r in got.collect()}
+        assert len(sizes) == 32 and sizes["file7"] == 7 and sizes["top"] == 3
+
+
+def test_vanished_files_are_rows(tmp_path, monkeypatch):
+    (tmp_path / "a").write_text("a")
+    (tmp_path / "b").write_text("bb")
+    real = os.stat
+
+    def vanishes(path, **more):
+        if str(path).endswith("/a"):
+            raise FileNotFoundError(2, "No such file or directory")
+        return real(path, **more)
+
+    monkeypatch.setattr(cache_folder.os, "stat", vanishes)
+    rows = {r[0].rsplit("/", 1)[1]: r[1:] for r in cache_folder.walk(str(tmp_path), True)}
+    assert rows["a"] == (None, None, None, "No such file or directory") and rows["b"][0] == 2
+    assert [r[4] for r in cache_folder.walk(str(tmp_path / "no"), True)] == ["No such file or directory"]
 
 
 def test_probe_logs(spark, tmp_path):

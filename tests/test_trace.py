@@ -5,11 +5,11 @@ from collections import OrderedDict
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from edgetide.operators import trace
+from edgetide.staging import stage
 
 
 def replay(objects, capacity):
@@ -39,17 +39,6 @@ def test_smaller_before(seed):
     assert trace.smaller_before(values).tolist() == want
 
 
-@pytest.mark.parametrize("seed,capacity", [(s, c) for s in range(10) for c in (1, 3, 8, 40)])
-def test_block_replay_equals_sequential(seed, capacity):
-    objects = random_objects(seed, 300, 25)
-    cut = 170
-    before = pd.DataFrame({"file_id": objects[:cut], "last_pos": range(cut)})
-    seed_rows = trace._recent(before, capacity)
-    rows = pd.DataFrame({"pos": range(cut, 300), "file_id": objects[cut:]})
-    got = trace.replay_block(rows, seed_rows, capacity)
-    assert list(zip(got.hit, got.stack_distance_approx)) == replay(objects, capacity)[cut:]
-
-
 def frame_of(spark, objects, seed=1):
     rng = random.Random(seed)
     ts, rows = datetime(2024, 1, 1), []
@@ -61,14 +50,29 @@ def frame_of(spark, objects, seed=1):
     return rows, spark.createDataFrame(rows, schema).repartition(4)
 
 
-@pytest.mark.parametrize("capacity,task_rows", [(5, 2_000_000), (5, 10), (12, 30)])
-def test_lru_over_blocks(spark, capacity, task_rows):
-    objects = random_objects(9, 600, 40)
+@pytest.mark.parametrize("seed,size,blocks", [(9, 600, 11), (3, 500, 1), (4, 400, 25), (5, 1, 3)])
+def test_one_table_for_every_capacity(spark, seed, size, blocks):
+    objects = random_objects(seed, size, 40)
     _, frame = frame_of(spark, objects)
-    cut = trace.positioned(frame, "event_id", blocks=11)
-    got = {r.pos: (r.hit, r.stack_distance_approx)
-           for r in trace.lru_replay(cut, capacity, task_rows).collect()}
-    assert [got[i] for i in range(600)] == replay(objects, capacity)
+    rows = stage(trace.stack_distances(trace.positioned(frame, "event_id", blocks=blocks)), "distances")
+    for capacity in (1, 5, 12, 100):
+        got = {r.pos: (r.hit, r.stack_distance_approx) for r in trace.lru_columns(rows, capacity).collect()}
+        assert [got[i] for i in range(size)] == replay(objects, capacity)
+
+
+def test_a_cache_per_region(spark):
+    rng = random.Random(7)
+    objects = [None if rng.random() < .05 else name for name in random_objects(2, 700, 30)]
+    regions = [rng.choice(["sea", "sea", "sea", "eu", None]) for _ in objects]
+    rows, _ = frame_of(spark, objects)
+    frame = spark.createDataFrame([(*r, g) for r, g in zip(rows, regions)],
+                                  "event_id long, ts timestamp_ntz, file_id string, region string").repartition(3)
+    by = ("region",)
+    got = {r.event_id: (r.hit, r.stack_distance_approx) for r in trace.with_lru(
+        trace.positioned(frame, "event_id", blocks=9, by=by), 6, by).collect()}
+    for region in ("sea", "eu", None):
+        own = [i for i, g in enumerate(regions) if g == region]
+        assert [got[i] for i in own] == replay([objects[i] for i in own], 6)
 
 
 def test_history_and_labels_over_blocks(spark):
@@ -109,4 +113,4 @@ def test_history_goes_on_from_a_state(spark):
 def test_empty_trace(spark):
     frame = spark.createDataFrame([], "event_id long, ts timestamp_ntz, file_id string")
     cut = trace.positioned(frame, "event_id")
-    assert trace.with_lru(trace.look_ahead(trace.history(cut), base=cut), 5, base=cut).count() == 0
+    assert trace.with_lru(trace.look_ahead(trace.history(cut), base=cut), 5).count() == 0
