@@ -6,16 +6,22 @@ rows (``SAMPLE`` rows expected, chosen by the hash of doc_id) and keeps the most
 words' log frequencies; a word that is not known counts by its longest known n-grams, padded
 with a blank at both ends.  The score of the answer is its share among the languages.
 
-Null texts and texts without a letter are ``und`` with score 0.
+The model is sorted hashes of units with the languages each was seen in, so its size follows the
+units, not units times languages.
+
+Null texts, empty ones and texts without a letter (numerals are none) are ``und`` with score 0; so is every
+text where nothing was learned.  Repeated rows are counted, and answered, each by itself; an empty table gives
+no rows.  Very long texts are read whole.  Of equal scores the language first by code point wins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -28,10 +34,14 @@ SAMPLE = 20_000
 WORDS = 20_000
 GRAMS = 4_000
 LENGTHS = (5, 4, 3, 2, 1)
-LETTERS = re.compile(r"[^\W\d_]+")
+#: A word: a run of letters and their marks, the same for training and prediction.
+WORD = r"[\p{L}\p{M}]+"
+WORDS_OF, LETTER = regex.compile(WORD), regex.compile(r"\p{L}")
 #: A word that is known tells more than one made up of n-grams; n-grams count by length.
 WEIGHT = {5: 0.8, 4: 0.6, 3: 0.4, 2: 0.25, 1: 0.1}
-MEMO = 200_000         # words a task remembers the scores of
+MEMO = 200_000         # words a task remembers the scores of, in at most so many bytes
+MEMO_BYTES = 64 << 20
+SMOOTH = 0.1
 
 
 def _counted(rows: DataFrame, unit: str, most: int) -> list:
@@ -52,7 +62,7 @@ def train(docs: DataFrame, held_out) -> dict:
     share = min(1.0, SAMPLE / max(n, 1))
     sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30)))
     words = sample.select("lang", F.explode(F.regexp_extract_all(
-        F.lower("text"), F.lit(r"[\p{L}\p{M}]+"), F.lit(0))).alias("word")) \
+        F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")) \
         .groupBy("lang", "word").agg(F.count("*").alias("n"))
     words = tables.stage(words, "words")
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
@@ -63,55 +73,73 @@ def train(docs: DataFrame, held_out) -> dict:
             lambda i: F.substring(padded, i, F.lit(size)))).alias("gram")) \
             .filter(F.length("gram") == size).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
         grams = part if grams is None else grams.union(part)
-    langs = sorted(r[0] for r in words.select("lang").distinct().collect())
-    model = {"langs": langs, "words": {}, "grams": {}}
-    totals = {(unit): {r[0]: r[1] for r in rows.groupBy("lang").agg(F.sum("n")).collect()}
-              for unit, rows in (("word", words),)}["word"]
-    for unit, rows, most in (("word", words, WORDS), ("gram", grams, GRAMS)):
-        table: dict = {}
-        for lang, text, n in _counted(rows, unit, most):
-            table.setdefault(text, np.zeros(len(langs)))[langs.index(lang)] = n
-        total = np.array([totals.get(x, 0) for x in langs], float)
-        for text, counts in table.items():
-            logs = np.log((counts + 0.1) / (total + 1))
-            # only differences between languages matter, so every unit is centred
-            table[text] = tuple((logs - logs.mean()).tolist())
-        model[unit + "s"] = table
+    totals = {r[0]: r[1] for r in words.groupBy("lang").agg(F.sum("n")).collect()}
+    langs = sorted(totals)
+    size = np.array([totals[x] for x in langs], float)
+    model = {"langs": langs, "rare": np.log(SMOOTH / (size + 1)),
+             "words": Units.of(_counted(words, "word", WORDS), langs),
+             "grams": Units.of(_counted(grams, "gram", GRAMS), langs)}
     tables.drop(words)
     return model
 
 
+class Units:
+    """Words or n-grams, each with the languages it was seen in: sorted hashes and flat arrays.
+
+    ``gains`` are what a unit's count in a language adds to the log frequency of an unseen one.
+    """
+
+    def __init__(self, hashes: np.ndarray, starts: np.ndarray, langs: np.ndarray, gains: np.ndarray):
+        self.hashes, self.starts, self.langs, self.gains = hashes, starts, langs, gains
+
+    @classmethod
+    def of(cls, counted: list, langs: list[str]) -> Units:
+        place = {x: k for k, x in enumerate(langs)}
+        rows = np.array([(xxhash.xxh64_intdigest(unit), place[lang], n) for lang, unit, n in counted],
+                        dtype=[("h", np.uint64), ("l", np.int32), ("n", np.int64)])
+        rows.sort(order=["h", "l"])
+        hashes, starts = np.unique(rows["h"], return_index=True)
+        return cls(hashes, np.append(starts, len(rows)), rows["l"], np.log((rows["n"] + SMOOTH) / SMOOTH))
+
+    def scores(self, unit: str, rare: np.ndarray) -> np.ndarray | None:
+        """Log frequency by language, centred as only differences matter; None for an unknown unit."""
+        h = np.uint64(xxhash.xxh64_intdigest(unit))
+        k = int(np.searchsorted(self.hashes, h))
+        if k == len(self.hashes) or self.hashes[k] != h:
+            return None
+        out, own = rare.copy(), slice(self.starts[k], self.starts[k + 1])
+        out[self.langs[own]] += self.gains[own]
+        return out - out.mean()
+
+
 class Memo(dict):
-    """Row number of a word in ``scores``; unknown words are scored once and remembered."""
+    """Row of a word in ``scores``; a word is scored once and remembered."""
 
     def __init__(self, model: dict):
-        self.model, self.known = model, len(model["words"])
-        self.scores = np.zeros((self.known + MEMO, max(1, len(model["langs"]))))
-        for k, (word, v) in enumerate(model["words"].items()):
-            self[word] = k
-            self.scores[k] = v
+        self.model, self.width = model, max(1, len(model["langs"]))
+        self.scores = np.zeros((max(1024, min(MEMO, MEMO_BYTES // (8 * self.width))), self.width))
 
     def trim(self, coming: int) -> None:
         if len(self) + coming > len(self.scores):
-            for word in list(self)[self.known:]:
-                del self[word]
-        if self.known + coming > len(self.scores):
-            self.scores = np.resize(self.scores, (self.known + coming, self.scores.shape[1]))
+            self.clear()
+        if coming > len(self.scores):
+            self.scores = np.zeros((coming, self.width))
 
     def __missing__(self, word: str) -> int:
         k = len(self)
-        self.scores[k] = self.backoff(word)
+        known = self.model["words"].scores(word, self.model["rare"])
+        self.scores[k] = self.backoff(word) if known is None else known
         self[word] = k
         return k
 
-    def backoff(self, word: str) -> list[float]:
+    def backoff(self, word: str) -> np.ndarray:
         grams, padded = self.model["grams"], f" {word} "
         for size in LENGTHS:
-            found = [grams[g] for i in range(len(padded) - size + 1) if (g := padded[i:i + size]) in grams]
+            found = [s for i in range(len(padded) - size + 1)
+                     if (s := grams.scores(padded[i:i + size], self.model["rare"])) is not None]
             if found:
-                share = WEIGHT[size] / len(found)
-                return [share * sum(of_lang) for of_lang in zip(*found)]
-        return [0.0] * self.scores.shape[1]
+                return WEIGHT[size] / len(found) * np.sum(found, axis=0)
+        return np.zeros(self.width)
 
 
 def _predict(model, keep: list[str], added: tuple[str, str]) -> Callable:
@@ -121,7 +149,7 @@ def _predict(model, keep: list[str], added: tuple[str, str]) -> Callable:
         for batch in rows:
             names, scores = [], []
             for text in batch["text"].to_pylist():
-                words = LETTERS.findall(text.lower()) if text else []
+                words = WORDS_OF.findall(text.lower()) if text and LETTER.search(text) else []
                 if not words or not langs:
                     names.append("und")
                     scores.append(0.0)

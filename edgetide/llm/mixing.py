@@ -119,10 +119,11 @@ def shard_quotas(quotas: DataFrame, tables: Tables, shards: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(doc_id, key, source, size, copies, source_size, target, shards) of ``docs``.
+    """(doc_id, key, source, size, copies, source_size, target, shards, orders) of ``docs``.
 
     One row per different (doc_id, text, source), ``copies`` of which are in ``docs``;
-    ``shards`` has the output shard of each time every one of them is taken.
+    ``shards`` has the output shard of each time every one of them is taken, ``orders`` the number by
+    which its shard is shuffled.
     """
     tables = Tables(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), "source", flow.text_key().alias("key"), sizes().alias("size"))
@@ -147,17 +148,23 @@ def mix(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
                                  F.element_at("upto", -1)), lambda p: p * BLOCKS + F.col("block"))
     return summed.withColumn("block", block).join(upto, "place").select(
         "doc_id", "key", "source", "size", "copies", "source_size", "target",
-        F.transform(draws, lambda d: F.size(F.filter("upto", lambda u: u <= d))).alias("shards"))
+        F.transform(draws, lambda d: F.size(F.filter("upto", lambda u: u <= d))).alias("shards"),
+        F.transform(draws, lambda _, turn: F.xxhash64("doc_id", "key", turn, F.lit(SEED + 1))).alias("orders"))
 
 
 def mixed_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(row, mix_shard, mix_order): ``docs`` as the mix has them, every row, a struct, as often
     as it is taken, with its output shard and the order by which a shard is shuffled."""
     plan = mix(docs, shards).select(F.col("doc_id").alias("p_id"), F.col("key").alias("p_key"),
-                                    F.col("source").alias("p_source"), "shards")
+                                    F.col("source").alias("p_source"), F.arrays_zip("shards", "orders").alias("takes"))
     joined = flow.packed_rows(docs).join(plan, F.col("doc_id").eqNullSafe(F.col("p_id"))
                                          & (F.col("key") == F.col("p_key"))
                                          & F.col("row.source").eqNullSafe(F.col("p_source")))
-    taken = joined.select("row", "doc_id", "key", F.posexplode("shards").alias("turn", "mix_shard"))
-    return taken.select("row", "mix_shard", F.xxhash64(
-        "doc_id", "key", "turn", F.lit(SEED + 1)).alias("mix_order"))
+    return joined.select("row", F.explode("takes").alias("take")).select(
+        "row", F.col("take.shards").alias("mix_shard"), F.col("take.orders").alias("mix_order"))
+
+
+def shuffled_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """The mixed rows alone, shard after shard inside a task, each shuffled by its order."""
+    return mixed_rows(docs, shards).repartition("mix_shard").sortWithinPartitions(
+        "mix_shard", "mix_order").select("row.*")

@@ -64,7 +64,8 @@ def neighbours(vectors: DataFrame) -> DataFrame:
 def mixture(docs: DataFrame) -> DataFrame:
     plan = mixing.mix(docs)
     return plan.select("doc_id", "size", "source_size", "target",
-                       (F.col("size") * F.size("shards")).alias("taken"),
+                       (F.col("size") * F.size("shards")).alias("taken"), F.array_join("shards", ",").alias("shards"),
+        F.array_join("orders", ",").alias("orders"),
                        F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
 
 
@@ -72,7 +73,8 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
     return suffix_dedup.remove_repeats(docs).select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
-        F.sha2("kept", 256).alias("kept_sha256"))
+        F.sha2("kept", 256).alias("kept_sha256"), F.octet_length("kept").cast("long").alias("n_kept"),
+        (removed > 0).alias("has_repeats"))
 
 
 def licence_scan(docs: DataFrame) -> DataFrame:

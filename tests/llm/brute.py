@@ -1,7 +1,9 @@
 """Plain Python versions of the operators' contracts, for small inputs."""
 
 import hashlib
+import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from math import isqrt
@@ -152,3 +154,63 @@ def dice(a, b):
     x, y = bag(a), bag(b)
     n = sum(x.values()) + sum(y.values())
     return 2 * sum((x & y).values()) / n if x and y else 0.0
+
+
+# --- language
+
+def has_letter(text):
+    return any(unicodedata.category(c)[0] == "L" for c in text or "")
+
+
+def words_of(text):
+    """Runs of letters and marks."""
+    out, word = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c)[0] in "LM":
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def language_model(rows):
+    """A function from a text to (language, score), learned from (language, text)."""
+    words = defaultdict(Counter)
+    for lang, text in rows:
+        if lang is not None and text is not None:
+            words[lang].update(words_of(text))
+    words = {g: c for g, c in words.items() if c}
+    langs = sorted(words)
+    total = {g: sum(words[g].values()) for g in langs}
+    grams = {g: Counter() for g in langs}
+    for g in langs:
+        for w, n in words[g].items():
+            padded = f" {w} "
+            for size in (5, 4, 3, 2, 1):
+                for i in range(len(padded) - size + 1):
+                    grams[g][padded[i:i + size]] += n
+
+    def logs(table, unit):
+        if not any(table[g][unit] for g in langs):
+            return None
+        own = [math.log((table[g][unit] + .1) / (total[g] + 1)) for g in langs]
+        return [x - sum(own) / len(own) for x in own]
+
+    def of_word(w):
+        if (known := logs(words, w)) is not None:
+            return known
+        for size, weight in ((5, .8), (4, .6), (3, .4), (2, .25), (1, .1)):
+            padded = f" {w} "
+            found = [s for i in range(len(padded) - size + 1) if (s := logs(grams, padded[i:i + size])) is not None]
+            if found:
+                return [weight * sum(x) / len(found) for x in zip(*found)]
+        return [0.0] * len(langs)
+
+    def predict(text):
+        if not has_letter(text) or not langs:
+            return "und", 0.0
+        sums = [sum(x) for x in zip(*map(of_word, words_of(text)))]
+        best = max(range(len(langs)), key=lambda k: (sums[k], -k))
+        return langs[best], 1 / sum(math.exp(max(x - sums[best], -700)) for x in sums)
+    return predict

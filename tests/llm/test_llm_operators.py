@@ -4,6 +4,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,14 +140,17 @@ def test_lines_small_filter(docs, monkeypatch):
 def test_repeats(spark, docs, source):
     frame = docs if source == "docs" else real(spark)
     expected = brute.suffix_dedup(pairs(frame, "doc_id", "text"))
-    same(queries.repeated_bytes(frame), expected)
+    same(queries.repeated_bytes(frame).drop("n_kept", "has_repeats"), expected)
     assert sum(r[2] for r in expected) > 1000
 
 
 def test_repeats_cut_pieces_and_dealt_groups(docs, monkeypatch):
     """Small limits, set on the driver, for texts in several pieces and picks over several tasks."""
     monkeypatch.setattr(suffix_dedup, "GROUP", 3)
-    same(queries.repeated_bytes(docs), brute.suffix_dedup(TEXTS))
+    found = queries.repeated_bytes(docs)
+    same(found.drop("n_kept", "has_repeats"), brute.suffix_dedup(TEXTS))
+    for r in found.collect():
+        assert r.n_kept == r.n_bytes - r.n_removed and r.has_repeats == (r.n_removed > 0) == (r.n_spans > 0)
 
 
 def test_deep_shallow_order():
@@ -178,18 +182,48 @@ def test_language(spark, docs, none):
     assert right > 0.98 and all(0 <= r.score <= 1 for r in held)
     got = queries.languages(docs).collect()
     assert len(got) == len(ROWS)
-    letters = Counter(i for i, t in TEXTS if not t or not any(c.isalpha() for c in t))
+    letters = Counter(i for i, t in TEXTS if not brute.has_letter(t))
     assert Counter(r.doc_id for r in got if r.lang_pred == "und") == letters
     assert queries.languages(none).count() == 0
 
 
+def units(langs, counts):
+    return language.Units.of([(lang, unit, n) for unit, own in counts.items() for lang, n in own.items()], langs)
+
+
 def test_language_backs_off_to_ngrams():
-    model = {"langs": ["a", "b"], "words": {}, "grams": {"xy": [2.0, -2.0], "z": [-1.0, 1.0]}}
+    langs = ["a", "b"]
+    model = {"langs": langs, "rare": np.zeros(2), "words": units(langs, {}),
+             "grams": units(langs, {"xy": {"a": 5}, "z": {"b": 9, "a": 1}})}
     memo = language.Memo(model)
     assert memo.scores[memo["qxyq"]].argmax() == 0 and memo.scores[memo["z"]].argmax() == 1
     assert memo.scores[memo["q"]].tolist() == [0, 0]
 
 
+def test_language_equals_brute_force(spark):
+    texts = [("hi", "हिन्दी में लिखा हुआ पाठ"), ("hi", "यह हिन्दी है"), ("en", "this is some text, 3 times"), ("en", "e\u0301te this"),
+             ("de", "das ist ein Text"), ("de", "ÜBER das"), ("fr", "voilà l'été ½"), ("fr", None), (None, "no language")]
+    rows = [(k, *texts[k % len(texts)], "s") for k in range(60)]
+    odd = ["²", "½ ½", "Ⅷ", "", None, "123", "\u0301\u0301", "हिन्दी", "das neue", "zzz", "thisword", "İstanbul", "a ²"]
+    rows += [(100 + k, None, t, "s") for k, t in enumerate(odd)]
+    frame = spark.createDataFrame([(i, t, g, s) for i, g, t, s in rows], "doc_id long, text string, lang string, source string")
+    held = {r.doc_id: r.held_out for r in queries.languages(frame).collect()}
+    predict = brute.language_model([(g, t) for i, g, t, _ in rows if not held[i]])
+    got = {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in queries.languages(frame).collect()}
+    assert got == {i: (p, round(s, 9)) for i, _, t, _ in rows for p, s in [predict(t)]}
+    answers = dict(zip(odd, (got[100 + k][0] for k in range(len(odd)))))
+    assert [answers[t] for t in odd[:7]] == ["und"] * 7 and answers["हिन्दी"] == "hi" and answers["a ²"] != "und"
+
+
+def test_many_languages_take_little_memory():
+    langs = [f"l{k:03d}" for k in range(100)]
+    words = language.Units.of([(langs[k % 100], f"word{k // 2}", 1 + k % 9) for k in range(400_000)], langs)
+    assert sum(a.nbytes for a in (words.hashes, words.starts, words.langs, words.gains)) < 12_000_000
+    memo = language.Memo({"langs": langs, "rare": np.zeros(100), "words": words, "grams": units(langs, {})})
+    assert memo.scores.nbytes <= language.MEMO_BYTES
+    assert sorted(np.argsort(memo.scores[memo["word1"]])[-2:].tolist()) == [2, 3]
+
+
 def test_quality(spark, docs, none):
     frame, labels = real(spark, sf="/root/testdata/sf0.01"), real(spark, "labels", "/root/testdata/sf0.01")
     truth = dict(pairs(labels, "doc_id", "quality"))
@@ -294,6 +328,37 @@ def test_mixed_rows(docs):
     assert out.select("row.*").columns == docs.columns
 
 
+def test_result_comes_from_the_tree(spark, docs, monkeypatch):
+    first = {(r.doc_id, r.text_key): r.shards for r in _with_key(docs)}
+    assert len({n for x in first.values() for n in x.split(",") if n}) > 4
+    monkeypatch.setattr(mixing, "drawn", lambda counts, n, node: F.transform(
+        counts, lambda c: F.call_function("div", c, F.lit(2))))
+    assert first != {(r.doc_id, r.text_key): r.shards for r in _with_key(docs)}
+
+
+def _with_key(docs):
+    return mixing.mix(docs).select("doc_id", F.col("key").alias("text_key"), F.array_join("shards", ",").alias("shards")).collect()
+
+
+def test_draws_follow_the_hypergeometric_law(spark):
+    counts, n, runs = [30, 10, 5], 20, 4000
+    got = spark.range(runs).select(mixing.drawn(F.array(*[F.lit(c).cast("long") for c in counts]), F.lit(n), F.col("id")).alias("d"))
+    hits = np.array([r.d for r in got.collect()])
+    assert (hits.sum(axis=1) == n).all()
+    for k, c in enumerate(counts):
+        share = c / 45
+        spread = n * share * (1 - share) * (45 - n) / 44
+        assert abs(hits[:, k].mean() - n * share) < 4 * (spread / runs) ** .5
+        assert .9 < hits[:, k].var() / spread < 1.1
+
+
+def test_shards_are_written_in_their_order(docs):
+    rows = mixing.shuffled_rows(docs)
+    want = mixing.mixed_rows(docs)
+    assert Counter(map(str, rows.collect())) == Counter(str(r[0]) for r in want.collect())
+    assert rows.columns == docs.columns
+
+
 def test_splitting_tree(spark):
     from edgetide.llm.flow import Tables
     quotas = spark.createDataFrame([(0, 700), (1, 0), (2, 41), (3, 1300)], "place long, quota long")
