@@ -101,64 +101,98 @@ class Units:
         hashes, starts = np.unique(rows["h"], return_index=True)
         return cls(hashes, np.append(starts, len(rows)), rows["l"], np.log((rows["n"] + SMOOTH) / SMOOTH))
 
-    def scores(self, unit: str, rare: np.ndarray) -> np.ndarray | None:
-        """Log frequency by language, centred as only differences matter; None for an unknown unit."""
-        h = np.uint64(xxhash.xxh64_intdigest(unit))
-        k = int(np.searchsorted(self.hashes, h))
-        if k == len(self.hashes) or self.hashes[k] != h:
-            return None
-        out, own = rare.copy(), slice(self.starts[k], self.starts[k + 1])
-        out[self.langs[own]] += self.gains[own]
-        return out - out.mean()
+    def find(self, units: list[str]) -> np.ndarray:
+        """Place of each unit, -1 for an unknown one."""
+        if not len(self.hashes) or not units:
+            return np.full(len(units), -1)
+        h = np.array(list(map(xxhash.xxh64_intdigest, units)), np.uint64)
+        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == h, k, -1)
+
+    def gather(self, places: np.ndarray, owners: np.ndarray, out: np.ndarray) -> None:
+        """Add the gains of each place to its owner's row."""
+        count = self.starts[places + 1] - self.starts[places]
+        first = np.cumsum(count) - count
+        at = np.repeat(self.starts[places] - first, count) + np.arange(count.sum())
+        np.add.at(out, (np.repeat(owners, count), self.langs[at]), self.gains[at])
+
+
+def word_scores(model: dict, words: list[str]) -> np.ndarray:
+    """A row per word: its log frequency by language, or that of its longest known n-grams.
+
+    Rows are centred, as only differences between languages matter; a word of which nothing is known has
+    zeros.
+    """
+    rare = model["rare"] - model["rare"].mean() if len(model["langs"]) else model["rare"]
+    out = np.zeros((len(words), max(1, len(model["langs"]))))
+    places = model["words"].find(words)
+    known = np.flatnonzero(places >= 0)
+    model["words"].gather(places[known], known, out)
+    out[known] += rare
+    left = np.flatnonzero(places < 0)
+    for size in LENGTHS:
+        padded = [f" {words[k]} " for k in left]
+        count = np.array([max(0, len(p) - size + 1) for p in padded], np.int64)
+        places = model["grams"].find([p[i:i + size] for p in padded for i in range(len(p) - size + 1)])
+        owners = np.repeat(left, count)[places >= 0]
+        model["grams"].gather(places[places >= 0], owners, out)
+        hits = np.bincount(owners, minlength=len(words))[left]
+        done = left[hits > 0]
+        out[done] = WEIGHT[size] * (rare + out[done] / hits[hits > 0][:, None])
+        left = left[hits == 0]
+    return out - out.mean(axis=1, keepdims=True)
 
 
-class Memo(dict):
-    """Row of a word in ``scores``; a word is scored once and remembered."""
+class Memo:
+    """Scores of the words a task has met, up to a limit."""
 
     def __init__(self, model: dict):
-        self.model, self.width = model, max(1, len(model["langs"]))
-        self.scores = np.zeros((max(1024, min(MEMO, MEMO_BYTES // (8 * self.width))), self.width))
-
-    def trim(self, coming: int) -> None:
-        if len(self) + coming > len(self.scores):
-            self.clear()
-        if coming > len(self.scores):
-            self.scores = np.zeros((coming, self.width))
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        known = self.model["words"].scores(word, self.model["rare"])
-        self.scores[k] = self.backoff(word) if known is None else known
-        self[word] = k
-        return k
-
-    def backoff(self, word: str) -> np.ndarray:
-        grams, padded = self.model["grams"], f" {word} "
-        for size in LENGTHS:
-            found = [s for i in range(len(padded) - size + 1)
-                     if (s := grams.scores(padded[i:i + size], self.model["rare"])) is not None]
-            if found:
-                return WEIGHT[size] / len(found) * np.sum(found, axis=0)
-        return np.zeros(self.width)
+        self.model, self.place = model, {}
+        width = max(1, len(model["langs"]))
+        self.limit = max(1024, min(MEMO, MEMO_BYTES // (8 * width)))
+        self.scores = np.zeros((self.limit, width))
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > len(self.scores):
+            self.place.clear()
+            new = list(words)
+            # one text may hold more words than the limit
+            self.scores = np.zeros((max(self.limit, len(new)), self.scores.shape[1]))
+        first = len(self.place)
+        self.scores[first:first + len(new)] = word_scores(self.model, new)
+        self.place.update(zip(new, range(first, first + len(new))))
 
 
 def _predict(model, keep: list[str], added: tuple[str, str]) -> Callable:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs = model.value["langs"]
-        memo = Memo(model.value)
+        langs, memo = model.value["langs"], Memo(model.value)
         for batch in rows:
             names, scores = [], []
+            held: list[list[str]] = []
+            fresh: set[str] = set()
+
+            def answer() -> None:
+                memo.learn(fresh)
+                place, table = memo.place, memo.scores
+                for words in held:
+                    if not words or not langs:
+                        names.append("und")
+                        scores.append(0.0)
+                        continue
+                    total = table[[place[w] for w in words]].sum(axis=0)
+                    best = int(np.argmax(total))
+                    names.append(langs[best])
+                    scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                held.clear()
+                fresh.clear()
+
             for text in batch["text"].to_pylist():
-                words = WORDS_OF.findall(text.lower()) if text and LETTER.search(text) else []
-                if not words or not langs:
-                    names.append("und")
-                    scores.append(0.0)
-                    continue
-                memo.trim(len(words))
-                total = memo.scores[[memo[w] for w in words]].sum(axis=0)
-                best = int(np.argmax(total))
-                names.append(langs[best])
-                scores.append(float(1 / np.exp(np.maximum(total - total[best], -700)).sum()))
+                held.append(WORDS_OF.findall(text.lower()) if text and LETTER.search(text) else [])
+                fresh.update(held[-1])
+                if len(fresh) > memo.limit // 2:
+                    answer()
+            answer()
             yield pa.RecordBatch.from_arrays(
                 [*(batch[c] for c in keep), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 names=[*keep, *added])

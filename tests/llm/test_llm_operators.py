@@ -195,9 +195,8 @@ def test_language_backs_off_to_ngrams():
     langs = ["a", "b"]
     model = {"langs": langs, "rare": np.zeros(2), "words": units(langs, {}),
              "grams": units(langs, {"xy": {"a": 5}, "z": {"b": 9, "a": 1}})}
-    memo = language.Memo(model)
-    assert memo.scores[memo["qxyq"]].argmax() == 0 and memo.scores[memo["z"]].argmax() == 1
-    assert memo.scores[memo["q"]].tolist() == [0, 0]
+    scores = language.word_scores(model, ["qxyq", "z", "q"])
+    assert scores[0].argmax() == 0 and scores[1].argmax() == 1 and scores[2].tolist() == [0, 0]
 
 
 def test_language_equals_brute_force(spark):
@@ -221,7 +220,10 @@ def test_many_languages_take_little_memory():
     assert sum(a.nbytes for a in (words.hashes, words.starts, words.langs, words.gains)) < 12_000_000
     memo = language.Memo({"langs": langs, "rare": np.zeros(100), "words": words, "grams": units(langs, {})})
     assert memo.scores.nbytes <= language.MEMO_BYTES
-    assert sorted(np.argsort(memo.scores[memo["word1"]])[-2:].tolist()) == [2, 3]
+    for k in range(0, 300_000, 30_000):
+        memo.learn({f"word{n}" for n in range(k, k + 30_000)} | {"word1"})
+        assert sorted(np.argsort(memo.scores[memo.place["word1"]])[-2:].tolist()) == [2, 3]
+    assert memo.scores.nbytes <= language.MEMO_BYTES
 
 
 def test_quality(spark, docs, none):
