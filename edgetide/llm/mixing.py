@@ -165,6 +165,13 @@ def mixed_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def shuffled_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The mixed rows alone, shard after shard inside a task, each shuffled by its order."""
-    return mixed_rows(docs, shards).repartition("mix_shard").sortWithinPartitions(
-        "mix_shard", "mix_order").select("row.*")
+    """The mixed rows alone, each shard shuffled by its order.
+
+    A shard is cut by ranges of its order, so that the session's partitions and not the shards bound
+    what a task holds.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = max(1, -(-partitions // shards))
+    piece = F.floor((F.col("mix_order").cast("double") / 2.0 ** 64 + 0.5) * cuts)
+    return mixed_rows(docs, shards).withColumn("piece", piece).repartition("mix_shard", "piece") \
+        .sortWithinPartitions("mix_shard", "piece", "mix_order").select("row.*")
