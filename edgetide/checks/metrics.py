@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from edgetide.checks import query
 from edgetide.checks.views import accesses, extended_lines, probes, records
 from edgetide.functions import fixed_values as fixed
-from edgetide.operators import audits, counters, traffic
+from edgetide.functions import paths
+from edgetide.operators import audits, counters, rate_limits, traffic
 from edgetide.plans import metrics as metric_plan
 from edgetide.sources import access_logs
 
@@ -153,6 +154,60 @@ def over_rate_zones(spark, d):
         "violations", found.select(F.count("*")).scalar())
 
 
+#: The trace replayed this many times faster, so that single clients come near the edge's limits.
+SPEED = 20_000_000
+START = "2024-01-01 00:00:00"
+
+
+def _bucket_sql(result: str) -> str:
+    """One request instant after the other, all clients side by side."""
+    media, api = fixed.RATE_ZONES["media"], fixed.RATE_ZONES["api"]
+    return f"""
+    WITH RECURSIVE fast AS (SELECT ip, CASE file_type WHEN 'image' THEN 'media' ELSE 'api' END AS zone,
+      (epoch_us(ts) - epoch_us(TIMESTAMP '{START}')) // {SPEED * 1000} AS ms FROM accesses),
+    instants AS (SELECT zone, ip, ms, count(*) AS n FROM fast GROUP BY ALL),
+    steps AS (SELECT *, row_number() OVER w AS i, ms - lag(ms) OVER w AS gap,
+      CASE zone WHEN 'media' THEN {media[0]} ELSE {api[0]} END AS rate,
+      CASE zone WHEN 'media' THEN {media[1] * 1000} ELSE {api[1] * 1000} END AS burst
+      FROM instants WINDOW w AS (PARTITION BY zone, ip ORDER BY ms)),
+    bucket AS (
+      SELECT zone, ip, i, ms, n, least(n, (burst + 1000) // 1000) AS ok,
+        -1000 + 1000 * least(n, (burst + 1000) // 1000) AS level FROM steps WHERE i = 1
+      UNION ALL
+      SELECT zone, ip, i, ms, n, least(n, (burst - drained) // 1000),
+        drained + 1000 * least(n, (burst - drained) // 1000)
+      FROM (SELECT s.*, greatest(-1000, b.level - s.rate * s.gap) AS drained
+        FROM bucket b JOIN steps s ON s.zone = b.zone AND s.ip = b.ip AND s.i = b.i + 1)),
+    replayed AS (SELECT zone, ip, TIMESTAMP '{START}' + to_milliseconds(ms) AS instant, CAST(n AS BIGINT) AS requests,
+      CAST(ok AS BIGINT) AS accepted, CAST(n - ok AS BIGINT) AS refused, CAST(level AS BIGINT) AS level FROM bucket)
+    {result}"""
+
+
+def _limited(spark, d):
+    """The edge's own limits on the faster trace; images in one zone, videos in the other."""
+    start = F.lit(START).cast("timestamp_ntz")
+    millis = F.floor((paths.epoch_micros(c("ts")) - paths.epoch_micros(start)) / (SPEED * 1000))
+    rows = accesses(spark, d).select(
+        "ip", F.when(c("file_type") == "image", "media").otherwise("api").alias("zone"),
+        paths.at_millis(paths.epoch_millis(start) + millis).alias("ts"))
+    return rate_limits.leaky_bucket(rows, fixed.RATE_ZONES)
+
+
+@query("leaky_bucket_x7", _bucket_sql("SELECT * FROM replayed"))
+def leaky_bucket(spark, d):
+    return _limited(spark, d)
+
+
+@query("refused_clients_x7", _bucket_sql("""
+    SELECT zone, ip, CAST(sum(requests) AS BIGINT) AS requests, CAST(sum(refused) AS BIGINT) AS refused,
+      min(CASE WHEN refused > 0 THEN instant END) AS first_refused,
+      max(CASE WHEN refused > 0 THEN instant END) AS last_refused,
+      round(sum(refused) / sum(requests), 6) AS share
+    FROM replayed GROUP BY zone, ip HAVING sum(refused) > 0"""))
+def refused_clients(spark, d):
+    return rate_limits.refused_clients(_limited(spark, d)).withColumn("share", F.round("share", 6))
+
+
 @query("availability_a33", """SELECT time_bucket(INTERVAL '30 seconds', ts) AS slot, count(*) AS probes,
     round(avg(CASE WHEN status_code = '200' THEN 1.0 ELSE 0.0 END), 6) AS available
     FROM probes GROUP BY ALL""")

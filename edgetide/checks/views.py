@@ -232,6 +232,8 @@ trace AS (
 
 def with_views(sql: str) -> str:
     text = sql.strip()
+    if text.upper().startswith("WITH RECURSIVE "):
+        return VIEWS.replace("WITH ", "WITH RECURSIVE ", 1) + ", " + text[15:]
     if text.upper().startswith("WITH "):
         return VIEWS + ", " + text[5:]
     return VIEWS + text

@@ -134,5 +134,16 @@ def epoch_seconds(ts: Column) -> Column:
     return F.floor(_since_epoch(ts)).cast("bigint")
 
 
+def epoch_millis(ts: Column) -> Column:
+    return F.floor(_since_epoch(ts) * 1000).cast("bigint")
+
+
+def at_millis(millis: Column) -> Column:
+    """The zone-free timestamp of ``epoch_millis``."""
+    zero = F.lit(0)
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(
+        zero, zero, zero, (millis.cast("decimal(18,3)") / 1000).cast("decimal(18,6)"))
+
+
 def allowed_upload(filename: Column) -> Column:
     return filename.contains(".") & extension(filename).isin(fixed.UPLOAD_EXTENSIONS)

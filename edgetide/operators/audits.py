@@ -55,7 +55,7 @@ def over_rate(accesses: DataFrame, rate: int, burst: int = 0, client: str = "ip"
               ts: str = "ts", slot: str = "1 second") -> DataFrame:
     """Clients with more than rate + burst requests in one slot.
 
-    A count per slot, not the edge's own leaky bucket.
+    A count per slot; `rate_limits.leaky_bucket` replays the edge's own bucket.
     """
     return (accesses.groupBy(client, F.window(ts, slot)).agg(F.count("*").alias("requests"))
             .filter(F.col("requests") > rate + burst)
