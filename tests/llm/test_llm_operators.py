@@ -257,10 +257,10 @@ def expected_neighbours(rows, k=10):
     usable = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v
               and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in usable:
+    for at, (q, v) in enumerate(usable):
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable
-                          if i != q and len(w) == len(v))[:k]
+            best = sorted((-min(2**63 - 1, max(-2**63, sum(a * b for a, b in zip(v, w)))), i)
+                          for n, (i, w) in enumerate(usable) if n != at and len(w) == len(v))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return out
 
@@ -284,14 +284,50 @@ def test_top_k_odd_rows(spark):
     assert queries.neighbours(frame.limit(0)).count() == 0
 
 
+def test_top_k_large_components_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TREE", 20)
+    rng = __import__("random").Random(4)
+    rows = [(k % 60 * 50, [rng.choice([1.0, 3e6, -5e9, 1e30, -2.5]) * rng.random() for _ in range(3)])
+            for k in range(150)] + [(0, [1.0, 2.0, 3.0])] * 3 + [(7, [3e6, 3e6, 3e6])] * 40
+    for used in (rows, [(i, [x if abs(x) < 1e8 else 3e6 for x in v]) for i, v in rows], rows[-44:], rows[-43:-41]):
+        frame = spark.createDataFrame([(i, v, "x", 1) for i, v in used],
+                                      "vec_id long, embedding array<double>, row string, id int").repartition(3)
+        got = [tuple(r) for r in queries.neighbours(frame).collect()]
+        assert Counter(got) == Counter(expected_neighbours(used))
+
+
+def test_clustered_queries_go_to_few_cells(spark, monkeypatch):
+    """A query crosses into other cells only where they may hold a better row."""
+    import numpy as np
+    monkeypatch.setattr(topk, "TREE", 100)
+    sent, real_drop = [], topk.Tables.drop
+
+    def drop(self, *staged):
+        sent.extend(f.count() for f in staged if "block" in f.columns and "known" in f.columns)
+        real_drop(self, *staged)
+    monkeypatch.setattr(topk.Tables, "drop", drop)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(16, 8)) * 40
+    centres /= np.sqrt((centres ** 2).sum(axis=1))[:, None] / 40
+    rows = [(k, (centres[k % 16] + rng.normal(size=8) * 0.2).tolist()) for k in range(1601)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in queries.neighbours(frame).collect()]
+    assert Counter(got) == Counter(expected_neighbours(rows))
+    trees, asked = 17, 17
+    assert len(sent) == 2 and sum(sent) < trees * asked / 2
+
+
 def test_tree_leaves_pages_out():
     import numpy as np
     rng = np.random.default_rng(5)
     whole = np.concatenate([rng.integers(-20, 20, (400, 8)) + c for c in (0, 300, -300, 900)])
     big = float((whole.astype(float) ** 2).sum(axis=1).max())
     points = np.concatenate([whole, np.sqrt(big - (whole ** 2).sum(axis=1))[:, None]], axis=1)
-    best, seen = topk.search(topk.build_pages(points), np.arange(1600), whole, big, whole[1300], 1300, 10)
+    ids = np.arange(1600)
+    best, seen = topk.search(topk.build_pages(points), ids, ids, whole, big, whole[1300], 1300, 10)
     assert len(best) == 10 and seen < 800
+    again, fewer = topk.search(topk.build_pages(points), ids, ids, whole, big, whole[1300], 1300, 10, min(best)[0])
+    assert sorted(again) == sorted(best) and fewer <= seen
 
 
 # --- mixing
