@@ -171,9 +171,9 @@ def search(pages: list[dict], ids: np.ndarray, names: np.ndarray, whole: np.ndar
             seen += len(rows)
             scores = whole[rows] @ query
             if scores.dtype == object:
-                scores = [min(HIGH, max(LOW, s)) for s in scores.tolist()]
-            least_score = max(known, best[0][0]) if len(best) == k else known
-            top = sorted((-int(s), i) for s, i in zip(scores, ids[rows].tolist()) if s >= least_score)[:k]
+                scores = np.array([min(HIGH, max(LOW, s)) for s in scores.tolist()], np.int64)
+            good = scores >= (max(known, best[0][0]) if len(best) == k else known)
+            top = sorted(zip((-scores[good].astype(object)).tolist(), ids[rows[good]].tolist()))[:k] if good.any() else []
             for s, i in ((-s, i) for s, i in top):
                 if len(best) < k:
                     heapq.heappush(best, (s, -i))
