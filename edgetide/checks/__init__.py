@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from edgetide.checks import (eviction, metrics, models, scalars, scans, streams,  # noqa: F401
+    from edgetide.checks import (boosted, eviction, metrics, models, scalars, scans, streams,  # noqa: F401
                                  trace, traffic, views)

@@ -120,6 +120,18 @@ QUICK_GRID = {
     "subsamplingRate": [0.8, 1.0],
     "featureSubsetStrategy": ["0.8", "1.0"],
 }
+# the same search for trees with leaf limits and penalties
+LEAF_GRID = {
+    "trees": [50, 100, 200, 300],
+    "depth": [3, 6, 9, 12, -1],
+    "rate": [0.01, 0.05, 0.1, 0.2],
+    "leaves": [15, 31, 63, 127],
+    "least_rows": [10, 20, 30, 50],
+    "row_share": [0.7, 0.8, 0.9, 1.0],
+    "feature_share": [0.7, 0.8, 0.9, 1.0],
+    "l1": [0, 0.1, 0.5, 1.0],
+    "l2": [0, 0.1, 0.5, 1.0],
+}
 SEARCH_FOLDS = 3
 SEARCH_SAMPLES = 50
 SEED = 42
