@@ -29,9 +29,8 @@ from math import ceil, exp, log, log2, prod
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from edgetide.functions import fixed_values as fixed
 from edgetide.operators.models import LABELS, hash_bucket
@@ -43,7 +42,9 @@ UNIT = 2 ** 20         # parts into which a slope or curvature of 1 is cut
 RESTAGE = 16           # trees after which the scores so far are written
 TOGETHER = 48          # fits that share a pass: bounds a task's histograms to some 100 MB
 LEAST_CURVATURE = 1e-3
-CELLS = "job int, slot int, feature int, bin int, n long, g long, h long"
+HISTOGRAMS = "job int, slot int, feature int, cells binary"
+CUTS = ("job int, slot int, feature int, n long, g long, h long, "
+        "best struct<gain: double, back: int, ln: long, lg: long, lh: long>")
 KEY, FOLD, SCORES = "_key", "_fold", "_scores"
 
 
@@ -85,20 +86,34 @@ class Tree:
     rows: list[int] = field(default_factory=lambda: [0])
     gain: list[float] = field(default_factory=lambda: [0.0])
 
-    def place(self, bins: np.ndarray) -> np.ndarray:
-        """The leaf of each row; ``bins`` is features x rows."""
-        feature, cut, left, right = (np.asarray(x) for x in (
-            self.feature, self.cut, self.left, self.right))
-        node, at = np.zeros(bins.shape[1], dtype=np.int64), np.arange(bins.shape[1])
-        while True:
-            inner = feature[node] >= 0
-            if not inner.any():
-                return node
-            goes_left = bins[feature[node], at] <= cut[node]
-            node = np.where(inner, np.where(goes_left, left[node], right[node]), node)
+    def rows_at(self, bins: np.ndarray, rows: np.ndarray, wanted) -> Iterator[tuple[int, np.ndarray]]:
+        """The rows of each wanted leaf, of those given; ``bins`` is features x rows.
+
+        A node's rows are cut in two once, and branches without a wanted leaf aren't followed.
+        """
+        leads = set(wanted)
+        for node in reversed(range(len(self.feature))):  # children come after their parents
+            if self.feature[node] >= 0 and (self.left[node] in leads or self.right[node] in leads):
+                leads.add(node)
+        open_ = [(0, rows)] if 0 in leads else []
+        while open_:
+            node, at = open_.pop()
+            if self.feature[node] < 0:
+                yield node, at
+                continue
+            goes_left = bins[self.feature[node]][at] <= self.cut[node]
+            if self.left[node] in leads:
+                open_.append((self.left[node], at[goes_left]))
+            if self.right[node] in leads:
+                open_.append((self.right[node], at[~goes_left]))
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        return np.asarray(self.value)[self.place(bins)]
+    def score(self, bins: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        """The value of each row's leaf: of all rows in order, or of those given."""
+        found = np.empty(bins.shape[1])
+        leaves = [node for node, f in enumerate(self.feature) if f < 0]
+        for node, at in self.rows_at(bins, np.arange(len(found)) if rows is None else rows, leaves):
+            found[at] = self.value[node]
+        return found if rows is None else found[rows]
 
 
 @dataclass
@@ -181,20 +196,39 @@ def _doubles(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 # --- what a task works out for its rows ---------------------------------------------
 
-def _used(batch, task: Task, y: np.ndarray, seed: int, tree: int) -> np.ndarray:
+def _large(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one: what is done per fit and leaf is paid once a batch."""
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _draws(batch, seed: int, tree: int) -> np.ndarray:
+    """A number in [0, 1) per row, fixed by its key, the seed and the tree."""
+    with np.errstate(over="ignore"):
+        x = batch.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy()
+        x ^= np.uint64((seed * 1000003 + tree + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(31)
+    return (x >> np.uint64(11)).astype(np.float64) / 2 ** 53
+
+
+def _used(batch, task: Task, y: np.ndarray, draws: np.ndarray) -> np.ndarray:
     """Rows with a label, outside the fold left out, drawn for this tree."""
     used = ~np.isnan(y)
     if task.left_out is not None:
         used &= batch.column(FOLD).to_numpy(zero_copy_only=False) != task.left_out
     if task.settings.row_share < 1:
-        with np.errstate(over="ignore"):
-            x = batch.column(KEY).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64).copy()
-            x ^= np.uint64((seed * 1000003 + tree + 1) * 0x9E3779B97F4A7C15 % 2 ** 64)
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            x ^= x >> np.uint64(31)
-        used &= (x >> np.uint64(11)).astype(np.float64) / 2 ** 53 < task.settings.row_share
-    return used
+        used &= draws < task.settings.row_share
+    return np.flatnonzero(used)
 
 
 def _slopes(task: Task, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -205,18 +239,11 @@ def _slopes(task: Task, y: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, n
     return np.rint((score - y) / task.unit * UNIT), np.full(len(y), float(UNIT))
 
 
-def _scores(batch, models: list[Model], pending: list[list[Tree]], bins: np.ndarray) -> list[np.ndarray]:
-    rows = batch.num_rows
+def _known(batch, models: list[Model]) -> np.ndarray | list[np.ndarray]:
+    """Scores as written with the rows, one array per model; at first the models' bases."""
     if SCORES in batch.schema.names:
-        known = batch.column(SCORES).flatten().to_numpy(zero_copy_only=False).reshape(rows, -1).T
-    else:
-        known = [np.full(rows, m.base) for m in models]
-    found = []
-    for score, trees in zip(known, pending):
-        for tree in trees:
-            score = score + tree.score(bins)
-        found.append(score)
-    return found
+        return batch.column(SCORES).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).T
+    return [np.full(batch.num_rows, m.base) for m in models]
 
 
 def _row_bins(batch, features: int) -> np.ndarray:
@@ -224,66 +251,97 @@ def _row_bins(batch, features: int) -> np.ndarray:
 
 
 def _histograms(data: DataFrame, models, pending, labels, growths, seed, tree) -> DataFrame:
-    """Cells (job, slot, feature, bin) with rows, slopes and curvatures, one set per Spark task."""
+    """Per job, slot and feature the rows, slopes and curvatures of all bins, one set per Spark task.
+
+    Only rows in wanted leaves are scored and counted, and only for the features drawn.
+    """
     features, width = len(models[0].features), BINS + 2
-    work = [(j, g.tree, np.asarray(g.slots()), len(g.wanted)) for j, g in growths if g.wanted]
+    work = [(j, g.tree, g.wanted, sorted(g.features)) for j, g in growths if g.wanted]
 
     def run(batches):
-        sums = {j: np.zeros((3, features, n * width), dtype=np.int64) for j, _, _, n in work}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bins = _row_bins(batch, features)
-            scores = _scores(batch, models, pending, bins)
-            for j, grown, slots, n in work:
+        sums = {j: np.zeros((3, features, len(nodes) * width), dtype=np.int64) for j, _, nodes, _ in work}
+        for batch in _large(batches):
+            bins, known, draws = _row_bins(batch, features), _known(batch, models), _draws(batch, seed, tree)
+            ys, used = [_doubles(batch, f"_y{i}") for i in range(len(labels))], {}
+            for j, grown, nodes, drawn in work:
                 task = models[j].task
-                y = _doubles(batch, f"_y{labels.index(task.label)}")
-                slot = slots[grown.place(bins)]
-                rows = np.flatnonzero((slot >= 0) & _used(batch, task, y, seed, tree))
-                g, h = _slopes(task, y[rows], scores[j][rows])
-                for f in range(features):
-                    cell = slot[rows] * width + bins[f, rows]
-                    for kind, weights in enumerate((None, g, h)):
-                        sums[j][kind, f] += np.bincount(
-                            cell, weights, n * width).astype(np.int64)
+                label = labels.index(task.label)
+                alike = label, task.left_out, task.settings.row_share
+                if alike not in used:
+                    used[alike] = _used(batch, task, ys[label], draws)
+                slots = {node: slot for slot, node in enumerate(nodes)}
+                found = list(grown.rows_at(bins, used[alike], nodes))
+                rows = np.concatenate([at for _, at in found])
+                start = np.repeat([slots[node] * width for node, _ in found], [len(at) for _, at in found])
+                score = known[j][rows]
+                for earlier in pending[j]:
+                    score = score + earlier.score(bins, rows)
+                g, h = _slopes(task, ys[label][rows], score)
+                for f in drawn:
+                    cell = start + bins[f][rows]
+                    size = len(nodes) * width
+                    counts = np.bincount(cell, minlength=size)
+                    sums[j][0, f] += counts
+                    sums[j][1, f] += np.bincount(cell, g, size).astype(np.int64)
+                    # without a logistic loss all curvatures are one whole unit
+                    sums[j][2, f] += (np.bincount(cell, h, size).astype(np.int64) if task.logistic
+                                      else counts * UNIT)
         for j, total in sums.items():
-            f, cell = np.nonzero(total[0])
-            columns = [np.full(len(f), j, np.int32), (cell // width).astype(np.int32),
-                       f.astype(np.int32), (cell % width).astype(np.int32),
-                       *[total[k, f, cell] for k in range(3)]]
+            total = total.reshape(3, features, -1, width).transpose(2, 1, 0, 3)  # slot, feature, kind, bin
+            slot, f = np.nonzero(total[:, :, 0].any(axis=2))
+            cells = [total[at].tobytes() for at in zip(slot, f)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c) for c in columns], names=["job", "slot", "feature", "bin", "n", "g", "h"])
-
-    return data.mapInArrow(run, CELLS)
+                [pa.array(np.full(len(f), j, np.int32)), pa.array(slot.astype(np.int32)),
+                 pa.array(f.astype(np.int32)), pa.array(cells, pa.binary())],
+                names=["job", "slot", "feature", "cells"])
+
+    return data.mapInArrow(run, HISTOGRAMS)
+
+
+def _worth(g: np.ndarray, h: np.ndarray, unit: float, l1: float, l2: float) -> np.ndarray:
+    pull = np.maximum(np.abs(g * unit) - l1, 0.0)
+    curve = h / UNIT + l2
+    return np.divide(pull * pull, curve, out=np.zeros(len(pull)), where=curve != 0)
+
+
+def _cut(sums: np.ndarray, task: Task) -> tuple:
+    """Totals and the cut of the highest gain, ties to the lower bin; ``sums`` is 3 x bins."""
+    s, unit = task.settings, (1.0 if task.logistic else task.unit) / UNIT
+    used = np.flatnonzero(sums[0])
+    ln, lg, lh = np.cumsum(sums[:, used], axis=1)
+    n, g, h = (int(x[-1]) for x in (ln, lg, lh))
+    dg, dh = lg.astype(np.float64), lh.astype(np.float64)
+    whole = _worth(np.asarray([float(g)]), np.asarray([float(h)]), unit, s.l1, s.l2)
+    gain = _worth(dg, dh, unit, s.l1, s.l2) + _worth(g - dg, h - dh, unit, s.l1, s.l2) - whole
+    fits = ((ln >= s.least_rows) & (n - ln >= s.least_rows) & (n > ln) & (dh / UNIT >= LEAST_CURVATURE)
+            & ((h - dh) / UNIT >= LEAST_CURVATURE) & (gain > 1e-12))
+    if not fits.any():
+        return n, g, h, None
+    at = int(np.argmax(np.where(fits, gain, -np.inf)))
+    return n, g, h, {"gain": float(gain[at]), "back": -int(used[at]),
+                     "ln": int(ln[at]), "lg": int(lg[at]), "lh": int(lh[at])}
+
+
+def _best_cuts(histograms: DataFrame, models: list[Model]) -> DataFrame:
+    """Per job, slot and feature: totals and the best cut.  A task adds up and judges the leaves and
+    features that the shuffle gives it, whose histograms are of fixed size."""
+    tasks = [m.task for m in models]
+    kinds = [pa.int32()] * 3 + [pa.int64()] * 3 + [pa.struct([
+        ("gain", pa.float64()), ("back", pa.int32()), *[(c, pa.int64()) for c in ("ln", "lg", "lh")]])]
+    names = ["job", "slot", "feature", "n", "g", "h", "best"]
 
+    def run(batches):
+        sums: dict[tuple[int, int, int], np.ndarray] = {}
+        for batch in batches:
+            where = zip(*(batch.column(c).to_pylist() for c in names[:3]))
+            for key, cells in zip(where, batch.column("cells")):
+                part = np.frombuffer(cells.as_buffer(), np.int64).reshape(3, -1)
+                sums[key] = sums[key] + part if key in sums else part
+        rows = [(*key, *_cut(total, tasks[key[0]])) for key, total in sums.items()]
+        columns = zip(*rows) if rows else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
-def _best_cuts(cells: DataFrame, models: list[Model]) -> DataFrame:
-    """Per job, slot and feature: totals and the cut of the highest gain, ties to the lower bin."""
-    def of_job(values) -> Column:
-        return F.element_at(F.array(*[F.lit(float(v)) for v in values]), F.col("job") + 1)
-
-    where = ["job", "slot", "feature"]
-    sums = cells.repartition(*where).groupBy(*where, "bin").agg(
-        *[F.sum(c).alias(c) for c in ("n", "g", "h")])
-    whole, upto = Window.partitionBy(*where), Window.partitionBy(*where).orderBy("bin")
-    seen = sums.select(*where, "bin", *[F.sum(c).over(whole).alias(c) for c in ("n", "g", "h")],
-                       *[F.sum(c).over(upto).alias(f"l{c}") for c in ("n", "g", "h")])
-    l1, l2 = of_job(m.task.settings.l1 for m in models), of_job(m.task.settings.l2 for m in models)
-    least = of_job(m.task.settings.least_rows for m in models)
-    slope_unit = of_job((1.0 if m.task.logistic else m.task.unit) / UNIT for m in models)
-
-    def worth(g, h):
-        pull = F.greatest(F.abs(g * slope_unit) - l1, F.lit(0.0))
-        return F.coalesce(F.try_divide(pull * pull, h / UNIT + l2), F.lit(0.0))
-
-    g, h, lg, lh = (F.col(c).cast("double") for c in ("g", "h", "lg", "lh"))
-    gain = worth(lg, lh) + worth(g - lg, h - lh) - worth(g, h)
-    fits = ((F.col("ln") >= least) & (F.col("n") - F.col("ln") >= least) & (F.col("n") > F.col("ln"))
-            & (lh / UNIT >= LEAST_CURVATURE) & ((h - lh) / UNIT >= LEAST_CURVATURE) & (gain > 1e-12))
-    return seen.groupBy(*where).agg(
-        *[F.first(c).alias(c) for c in ("n", "g", "h")],
-        F.max(F.when(fits, F.struct(gain.alias("gain"), (-F.col("bin")).alias("back"),
-                                    "ln", "lg", "lh"))).alias("best"))
+    return histograms.repartition("job", "slot", "feature").mapInArrow(run, CUTS)
 
 
 # --- one tree, split by split --------------------------------------------------------
@@ -298,12 +356,6 @@ class Growth:
         self.best: dict[int, tuple | None] = {}
         self.wanted = [0]
 
-    def slots(self) -> list[int]:
-        slots = [-1] * len(self.tree.feature)
-        for slot, node in enumerate(self.wanted):
-            slots[node] = slot
-        return slots
-
     def take(self, found: list) -> None:
         """Cuts of the wanted nodes, as ``_best_cuts`` gives them."""
         for node in self.wanted:
@@ -402,10 +454,13 @@ def _with_scores(data: DataFrame, models: list[Model], pending: list[list[Tree]]
     kept = [c for c in data.columns if c != SCORES]
 
     def run(batches):
-        for batch in batches:
-            rows = batch.num_rows
-            found = _scores(batch, models, pending, _row_bins(batch, features)) if rows else []
-            flat = np.stack(found, axis=1).ravel() if rows else np.zeros(0)
+        for batch in _large(batches):
+            rows, bins, found = batch.num_rows, _row_bins(batch, features), []
+            for score, trees in zip(_known(batch, models), pending):
+                for tree in trees:
+                    score = score + tree.score(bins)
+                found.append(score)
+            flat = np.stack(found, axis=1).ravel()
             ends = np.arange(rows + 1, dtype=np.int32) * len(models)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.ListArray.from_arrays(ends, pa.array(flat))],
@@ -496,9 +551,7 @@ def _held_out(data: DataFrame, models: list[Model], labels: list[str]) -> dict[i
 
     def run(batches):
         sums = np.zeros((len(models), 4), dtype=np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _large(batches):
             bins, fold = _row_bins(batch, features), batch.column(FOLD).to_numpy(zero_copy_only=False)
             for j, m in enumerate(models):
                 y = _doubles(batch, f"_y{labels.index(m.task.label)}")

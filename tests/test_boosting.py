@@ -124,3 +124,20 @@ def test_odd_rows(spark):
     model, = boosting.fit(odd, "id", [task], FEATURES)
     assert model.trees[0].rows[0] == 3 and abs(model.base - 11 / 3) < 1e-5
     assert boosting.predict(model, odd, "p").filter("p is null or isnan(p)").count() == 0
+
+
+def test_a_task_sends_a_row_per_leaf_and_drawn_feature(rows):
+    task = Task("y", False, Settings(trees=1))
+    data, borders = boosting.prepared(rows.coalesce(2), "id", FEATURES, ["y"])
+    model = Model(task, FEATURES, borders)
+    sent = boosting._histograms(data, [model], [[]], ["y"], [(0, boosting.Growth(task, [0, 2]))], 1, 0)
+    assert {r.feature for r in sent.collect()} == {0, 2}
+    assert sent.count() <= 2 * data.rdd.getNumPartitions()
+
+
+def test_only_rows_of_wanted_leaves_are_followed():
+    tree = boosting.Tree(feature=[0, 1, -1, -1, -1], cut=[3, 5, 0, 0, 0], left=[1, 3, 0, 0, 0], right=[2, 4, 0, 0, 0],
+                         value=[0.0, 0.0, 1.0, 2.0, 3.0], rows=[0] * 5, gain=[0.0] * 5)
+    bins = np.array([[1, 9, 2, 3, 4], [5, 0, 6, 7, 1]])
+    assert {n: list(at) for n, at in tree.rows_at(bins, np.array([0, 2, 4]), [4])} == {4: [2]}
+    assert list(tree.score(bins)) == [2, 1, 3, 3, 1] and list(tree.score(bins, np.array([4, 3]))) == [1, 3]
