@@ -47,12 +47,17 @@ def _class_by_extension() -> dict:
 
 
 def content_class(identifier: Column) -> Column:
-    """Content class of an object id or URL; ``unknown`` when it has no dot."""
+    """Content class of an object id or URL; ``unknown`` when it has no dot.
+
+    Looked up in a map: a CASE holds a copy of the path's expression for every class, and code
+    of that length is not compiled.
+    """
     path = F.when(identifier.startswith("http"),
                   F.coalesce(F.try_parse_url(identifier, F.lit("PATH")), F.lit(""))
                   ).otherwise(identifier)
+    classes = F.create_map(*[F.lit(text) for pair in _class_by_extension().items() for text in pair])
     return (F.when(identifier.isNull() | ~path.contains("."), F.lit("unknown"))
-            .otherwise(one_of(extension(path), _class_by_extension(), F.lit("other"))))
+            .otherwise(F.coalesce(F.try_element_at(classes, extension(path)), F.lit("other"))))
 
 
 def class_of_label(label: Column, strict: bool = False) -> Column:

@@ -15,6 +15,15 @@ def media_only(accesses: DataFrame, path: str = "url") -> DataFrame:
     return accesses.filter(paths.media_type(F.col(path)) != "other")
 
 
+def computed_once(rows: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is worked out once a row, however often later filters name it.
+
+    A filter on a computed column moves below the projection and takes a copy of the whole
+    expression for each mention; it does not move below a generator.
+    """
+    return rows.withColumn(column, F.explode(F.array(column)))
+
+
 def named_objects(accesses: DataFrame) -> DataFrame:
     """Drop NULL, ``nan`` and empty object ids."""
     return accesses.filter(F.col("file_id").isNotNull() & ~F.col("file_id").isin("nan", ""))
@@ -64,8 +73,11 @@ def of_frequent_objects(accesses: DataFrame, row_key: str,
 
 
 def usable(accesses: DataFrame, statuses=None) -> DataFrame:
-    """Named objects, good statuses, no bots: the filters that need one row only."""
-    return without_bots(ok_only(named_objects(accesses), statuses))
+    """Named objects, good statuses, no bots: the filters that need one row only.
+
+    The id is mostly parsed from the log line, so it is looked at last.
+    """
+    return named_objects(computed_once(without_bots(ok_only(accesses, statuses)), "file_id"))
 
 
 def typed(accesses: DataFrame, strict_class: bool = False, labelled: bool | None = None

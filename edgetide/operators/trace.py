@@ -111,21 +111,23 @@ def look_ahead(trace: DataFrame, window: int = fixed.LOOK_AHEAD,
     carried = heads.select("file_id", BLOCK,
                            F.slice(F.flatten(F.collect_list("_head").over(later)), 1, future)
                            .alias("_later"))
-    in_block = F.array_compact(F.array(*[F.lead("pos", k).over(inside)
-                                         for k in range(1, future + 1)]))
-    distances = F.transform(
-        F.slice(F.concat("_ahead", "_later"), 1, future), lambda p: p - F.col("pos"))
-    rows = (trace.withColumn("_ahead", in_block).join(carried, ["file_id", BLOCK])
-            .withColumn("_d", distances))
-    weight = F.aggregate("_d", F.lit(0.0), lambda total, d: total + F.when(
-        d <= window, 1.0 / d).otherwise(F.lit(0.0)))
-    next_one = F.get("_d", F.lit(0))
+    # plain columns, as functions over arrays are not compiled: the k-th next access is in the
+    # block or, when that holds only n of them, the (k - n)-th of the later ones
+    ahead = [f"_ahead{k}" for k in range(1, future + 1)]
+    rows = (trace.withColumns({a: F.lead("pos", k).over(inside) for k, a in enumerate(ahead, 1)})
+            .join(carried, ["file_id", BLOCK])
+            .withColumn("_n", sum((F.col(a).isNotNull().cast("int") for a in ahead), F.lit(0))))
+    rows = rows.withColumns({
+        a: F.coalesce(a, F.when(F.col("_n") < k, F.get("_later", F.lit(k - 1) - F.col("_n")))) - F.col("pos")
+        for k, a in enumerate(ahead, 1)})
+    weight = sum((F.when(F.col(a) <= window, 1.0 / F.col(a)).otherwise(F.lit(0.0)) for a in ahead), F.lit(0.0))
+    next_one = F.col(ahead[0])
     return rows.withColumns({
         "next_access_distance": F.coalesce(
             next_one, F.lit(window * fixed.NO_REUSE_FACTOR)).cast("bigint"),
         "future_reuse_prob": F.least(weight, F.lit(1.0)),
         "will_be_accessed_in_n": F.coalesce((next_one <= window).cast("int"), F.lit(0)),
-    }).drop("_ahead", "_later", "_d")
+    }).drop(*ahead, "_later", "_n")
 
 
 # --- exact LRU -------------------------------------------------------------------
