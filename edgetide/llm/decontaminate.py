@@ -10,8 +10,9 @@ counted over all windows and, for shingles of the benchmark, over all documents.
 
 1. Each window keeps its rarest ``SHINGLE``-word shingle (a shorter window is one shingle) and
    the place of it.
-2. A bitmap of fixed size (``BITS``) of those shingles goes to all tasks and leaves only the
-   document positions that may match; just these are shuffled, by shingle.
+2. A bitmap of those shingles, ``PER_KEY`` bits for each and ``MOST_BITS`` in all, goes to all tasks
+   and leaves only the document positions that may match; just these are shuffled, by shingle,
+   each with the few words around it.  A document's own words stay in the task that reads it.
 3. A match fixes where the window would start; it must lie inside the document (length and
    positional bounds), and its words are compared one by one.
 
@@ -29,7 +30,10 @@ from edgetide.llm.flow import Tables
 
 WINDOW = 10
 SHINGLE = 5
-BITS = 1 << 22         # 512 KB in every task, whatever the benchmark's size
+LEAD = WINDOW - SHINGLE  # words of a window that may stand before its shingle
+LEAST_BITS = 1 << 22   # 512 KB in every task
+MOST_BITS = 1 << 25    # 4 MB; with over 2 million shingles more positions are compared in vain
+PER_KEY = 16
 BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -40,58 +44,77 @@ def folded(word: Column) -> Column:
         F.translate(word, UPPER, LOWER))
 
 
+def parts_of(text: Column) -> Column:
+    """Words as they stand; capitals break no word."""
+    return F.array_remove(F.split(text, BREAKS), "")
+
+
 def words(text: str = "text") -> Column:
-    """Words as they stand; capitals break no word, so case is folded per word."""
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), BREAKS)
-    return F.filter(parts, lambda w: w != "")
+    """Folded words; a text that is ASCII is folded as a whole."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    plain = F.octet_length(whole) == F.length(whole)
+    return F.when(plain, parts_of(F.lower(whole))).otherwise(F.transform(parts_of(whole), folded))
 
 
-def shingle(hashes: Column, at: Column, size: int) -> Column:
+def shingle(words: Column, at: Column, size: int) -> Column:
     """Hash of ``size`` words from 0-based ``at`` on; plain expressions, so compiled."""
-    return F.xxhash64(*[F.get(hashes, at + k) for k in range(size)], F.lit(size))
+    return F.xxhash64(*[F.get(words, at + k) for k in range(size)], F.lit(size))
 
 
 def benchmark_windows(items: DataFrame) -> DataFrame:
     """(window, win array<string>, size) of distinct windows, and their items."""
     listed = items.filter(F.col("item_id").isNotNull()).select(
         F.col("item_id").cast("string").alias("item"),
-        F.transform(words(), folded).alias("w")).filter(F.size("w") > 0)
+        words().alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("w") - WINDOW))
     return listed.select("item", F.explode(starts).alias("s"), "w").select(
         "item", F.slice("w", F.col("s") + 1, F.lit(WINDOW)).alias("win")).distinct()
 
 
-def set_bit(bitmap: Column, h: Column) -> Column:
-    place = F.pmod(h, F.lit(BITS))
-    return F.getbit(F.get(bitmap, F.call_function("div", place, F.lit(64)).cast("int")), place % 64) == 1
+def bits_for(keys: int) -> int:
+    """A power of two, ``PER_KEY`` bits for each key as far as ``MOST_BITS`` goes."""
+    bits = LEAST_BITS
+    while bits < min(MOST_BITS, PER_KEY * keys):
+        bits *= 2
+    return bits
+
+
+def places(h: Column, bits: int) -> list[Column]:
+    return [F.pmod(x, F.lit(bits)) for x in (h, F.shiftrightunsigned(h, 32))]
+
 
+def in_bitmap(bitmap: Column, h: Column, bits: int) -> Column:
+    """Whether ``h`` may be among the bitmap's keys; true for each of them."""
+    first, second = (F.getbit(F.get(bitmap, F.call_function("div", p, F.lit(64)).cast("int")), p % 64) == 1
+                     for p in places(h, bits))
+    return first & second
 
-def bitmap_of(shingles: DataFrame) -> DataFrame:
-    """One row: BITS bits as an array of longs, its length fixed whatever the input."""
-    place = F.pmod("h", F.lit(BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
-    used = shingles.groupBy(F.call_function("div", place, F.lit(64)).alias("id")).agg(F.bit_or(bit).alias("b"))
-    every = shingles.sparkSession.range(BITS // 64).join(used, "id", "left")
+
+def bitmap_of(keys: DataFrame, bits: int) -> DataFrame:
+    """One row: ``bits`` bits as an array of longs, its length fixed whatever the keys ``h``."""
+    keys = keys.select(F.explode(F.array(*places(F.col("h"), bits))).alias("place"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("place") % 64).cast("int"))
+    used = keys.groupBy(F.call_function("div", "place", F.lit(64)).alias("id")).agg(F.bit_or(bit).alias("b"))
+    every = keys.sparkSession.range(bits // 64).join(used, "id", "left")
     return every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("b", F.lit(0)).alias("b")))).alias("e")) \
         .select(F.transform("e", lambda x: x["b"]).alias("bits"))
 
 
-def positions(docs: DataFrame, sizes: list[int], bitmap: Column) -> DataFrame:
-    """(doc_id, key, n, pos, h, near, lead) of document shingles whose bit is set.
+def positions(docs: DataFrame, sizes: list[int], bitmap: Column, bits: int) -> DataFrame:
+    """(doc_id, key, n, pos, h, near) of document shingles that are in the bitmap.
 
-    ``near`` holds the folded words around the position, ``lead`` of them before it.
+    ``near`` holds the words from ``LEAD`` before the position on, null outside the document.  All
+    above the words of a document is compiled into one loop, so no row but these is made of them.
     """
-    split = docs.select("doc_id", "key", words().alias("w")).withColumn(
-        "hashes", F.transform("w", lambda x: F.xxhash64(folded(x))))
+    split = docs.select("doc_id", "key", words().alias("w"))
     out = None
     for size in sizes:
-        at = split.filter(F.size("w") >= size).select(
-            "doc_id", "key", "w", "hashes", F.explode(F.sequence(F.lit(0), F.size("w") - size)).alias("pos"))
-        at = at.withColumn("h", shingle(F.col("hashes"), F.col("pos"), size)).filter(set_bit(bitmap, F.col("h")))
-        lead = F.least(F.col("pos"), F.lit(WINDOW))
-        at = at.select("doc_id", "key", F.size("w").alias("n"), "pos", "h",
-                       F.transform(F.slice("w", F.col("pos") - lead + 1, lead + WINDOW), folded).alias("near"),
-                       lead.alias("lead"))
+        starts = F.when(F.size("w") >= size, F.sequence(F.lit(0), F.size("w") - size)) \
+            .otherwise(F.array().cast("array<int>"))
+        at = split.select("doc_id", "key", "w", F.explode(starts).alias("pos"))
+        at = at.withColumn("h", shingle(F.col("w"), F.col("pos"), size)).filter(in_bitmap(bitmap, F.col("h"), bits))
+        near = F.array(*[F.get("w", F.col("pos") + k) for k in range(-LEAD, WINDOW)])
+        at = at.select("doc_id", "key", F.size("w").alias("n"), "pos", "h", near.alias("near"))
         out = at if out is None else out.union(at)
     return out
 
@@ -99,19 +122,17 @@ def positions(docs: DataFrame, sizes: list[int], bitmap: Column) -> DataFrame:
 def window_hits(docs: DataFrame, items: DataFrame, tables: Tables) -> DataFrame:
     """(doc_id, key, win, start, size) of every verified occurrence; ``win`` names the window."""
     windows = benchmark_windows(items)
-    name = F.concat_ws(" ", "win")
     size = F.least(F.lit(SHINGLE), F.size("win"))
-    hashes = F.transform("win", lambda x: F.xxhash64(x))
-    parts = windows.select(name.alias("win"), F.size("win").alias("length"), size.alias("size"),
-                           F.col("win").alias("list"), hashes.alias("hashes")).dropDuplicates(["win"]) \
-        .select("win", "length", "size", "list", "hashes",
-                F.explode(F.sequence(F.lit(0), F.col("length") - F.col("size"))).alias("offset"))
+    parts = windows.select("win", F.size("win").alias("length"), size.alias("size")).distinct() \
+        .select("win", "length", "size", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("size"))).alias("offset"))
     sizes = range(1, SHINGLE + 1)
-    h = F.coalesce(*[F.when(F.col("size") == k, shingle(F.col("hashes"), F.col("offset"), k)) for k in sizes])
-    parts = tables.stage(parts.select("win", "length", "size", "list", "offset", h.alias("h")), "windows")
+    h = F.coalesce(*[F.when(F.col("size") == k, shingle(F.col("win"), F.col("offset"), k)) for k in sizes])
+    parts = tables.stage(parts.select(F.concat_ws(" ", "win").alias("win"), "length", "size", "offset",
+                                      h.alias("h")), "windows")
     used = sorted(r[0] for r in parts.select("size").distinct().collect())       # of five at most
-    bitmap = tables.stage(bitmap_of(parts), "bitmap").scalar()
-    found = positions(docs, used, bitmap)
+    bits = bits_for(parts.select("h").distinct().count())
+    bitmap = tables.stage(bitmap_of(parts, bits), "bitmap").scalar()
+    found = positions(docs, used, bitmap, bits)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, key long, win string, start int, size int")
     found = tables.stage(found, "positions")
@@ -120,11 +141,10 @@ def window_hits(docs: DataFrame, items: DataFrame, tables: Tables) -> DataFrame:
         found.groupBy("h").agg(F.count("*").alias("in_documents")), "h", "left")
     rank = F.struct(F.coalesce("in_documents", F.lit(0)).alias("d"), "in_windows", "h", "offset")
     prefix = tables.stage(parts.join(rarity, "h").groupBy("win").agg(
-        F.min_by(F.struct("h", "offset", "length", "list"), rank).alias("p")).select("win", "p.*"), "prefix")
-    begin = F.col("lead") - F.col("offset")
-    inside = (begin >= 0) & (F.col("pos") - F.col("offset") + F.col("length") <= F.col("n"))
+        F.min_by(F.struct("h", "offset", "length"), rank).alias("p")).select("win", "p.*"), "prefix")
+    inside = (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + F.col("length") <= F.col("n"))
     return found.join(prefix, "h").filter(inside).filter(
-        F.slice("near", begin + 1, F.col("length")) == F.col("list")).select(
+        F.slice("near", LEAD - F.col("offset") + 1, F.col("length")) == F.split("win", " ")).select(
         "doc_id", "key", "win", (F.col("pos") - F.col("offset")).alias("start"), F.col("length").alias("size"))
 
 
@@ -146,7 +166,21 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = n_hit.join(ids, n_hit["doc_id"].eqNullSafe(ids["doc_id"]) & (n_hit["key"] == ids["key"])).select(
         n_hit["doc_id"].alias("hit_id"), n_hit["key"].alias("hit_key"), "n_hit", "item_ids")
     found = tables.stage(found, "found")
-    return docs.select("doc_id", "key", F.size(words()).cast("long").alias("n_words")).join(
+    return docs.select("doc_id", "key", F.size(parts_of(F.coalesce("text", F.lit("")))).cast("long").alias("n_words")).join(
         found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left").select(
         "doc_id", "key", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+
+
+def rows_without(docs: DataFrame, hits: DataFrame, tables: Tables) -> DataFrame:
+    """``docs`` without the rows of the staged ``hits`` (hit_id, hit_key), all columns kept.
+
+    A bitmap of the hits tells for most rows that they are none; only the others are shuffled.
+    """
+    rows = flow.packed_rows(docs)
+    bits = bits_for(hits.count())
+    bitmap = tables.stage(bitmap_of(hits.select(F.xxhash64("hit_id", "hit_key").alias("h")), bits), "marks").scalar()
+    maybe = in_bitmap(bitmap, F.xxhash64("doc_id", "key"), bits)
+    rest = rows.filter(maybe).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id"))
+                                   & (F.col("key") == F.col("hit_key")), "left_anti")
+    return rows.filter(~maybe).select("row.*").union(rest.select("row.*"))

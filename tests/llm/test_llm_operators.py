@@ -1,5 +1,6 @@
 """Each operator against a plain version on small tables that hold the odd cases."""
 
+import re
 import sys
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -12,7 +13,9 @@ sys.path.insert(0, str(Path(__file__).parent))
 
 import brute  # noqa: E402
 import tables  # noqa: E402
+from edgetide.llm import decontaminate, flow  # noqa: E402
 from edgetide.llm import language, licenses, mixing, quality, queries, sharding, suffix_dedup, topk  # noqa: E402
+from edgetide.llm.flow import Tables  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 ROWS = tables.documents()
@@ -97,6 +100,39 @@ def test_decontamination_nothing(spark, docs, none):
     assert queries.contamination(none, empty).count() == 0
 
 
+def test_decontamination_positions_are_narrow(spark, docs):
+    """Nothing between a document's words and the few words around a position is kept as a row."""
+    bitmap = decontaminate.bitmap_of(docs.select(F.xxhash64("text").alias("h")), 1 << 22).scalar()
+    keyed = docs.select("doc_id", "text", flow.text_key().alias("key"))
+    with flow.settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        plan = decontaminate.positions(keyed, [5], bitmap, 1 << 22)._jdf.queryExecution().executedPlan().toString()
+    loops = [re.search(rf"\*\((\d+)\) {step}", plan) for step in ("Project", "Filter", r"Generate explode\(CASE")]
+    assert all(loops) and len({x[1] for x in loops}) == 1, plan
+
+
+def test_decontamination_bitmap_grows(spark):
+    """Many benchmark shingles don't let most document positions through."""
+    keys, bits = 1_000_000, decontaminate.bits_for(1_000_000)
+    hashed = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("h"))
+    bitmap = Tables(spark).stage(decontaminate.bitmap_of(hashed(0, keys), bits), "bitmap").scalar()
+    hit = decontaminate.in_bitmap(bitmap, F.col("h"), bits)
+    assert hashed(0, keys).filter(~hit).count() == 0
+    assert hashed(keys, keys + 100_000).filter(hit).count() < 3_000
+    assert decontaminate.bits_for(0) == 1 << 22 and decontaminate.bits_for(1 << 40) == decontaminate.MOST_BITS
+
+
+def test_rows_without_shuffles_few(spark, docs):
+    """Rows that are no hits are not shuffled; null ids, null texts and repeated rows count."""
+    keyed = docs.select(F.col("doc_id").alias("hit_id"), flow.text_key().alias("hit_key"))
+    hits = Tables(spark).stage(keyed.filter("hit_id is null or hit_id % 5 = 0").distinct(), "hits")
+    with flow.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        got = decontaminate.rows_without(docs, hits, Tables(spark))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert Counter(tuple(r) for r in got.collect()) == Counter(
+            tuple(r) for r in docs.collect() if r.doc_id is not None and r.doc_id % 5)
+    assert "getbit" in plan[plan.index("SortMergeJoin"):].split("Exchange")[1]
+
+
 # --- n-gram join
 
 def test_near_duplicates(docs):
