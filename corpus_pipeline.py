@@ -36,9 +36,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     hits = decontaminate.decontaminate(docs, flow.read(spark, sf_dir, "benchmark")).filter(
         F.col("n_hit") >= LEAST_HIT).select(F.col("doc_id").alias("hit_id"), F.col("key").alias("hit_key"))
     hits = tables.stage(hits.distinct(), "contaminated")
-    return flow.packed_rows(docs).join(
-        hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")),
-        "left_anti").select("row.*")
+    return decontaminate.rows_without(docs, hits, tables)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
