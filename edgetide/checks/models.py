@@ -14,7 +14,6 @@ from edgetide.plans import evict, training
 from edgetide.staging import new_path
 
 c = F.col
-SMALL = {"maxIter": 3, "maxDepth": 3}
 
 
 @lru_cache(maxsize=4)
@@ -24,7 +23,7 @@ def _table(spark, d):
 
 @lru_cache(maxsize=4)
 def _bundle(spark, d):
-    return training.train(_table(spark, d), "event_id", tune=False, params=SMALL)
+    return training.train(_table(spark, d), "event_id", tune=False)
 
 
 @query("split_sizes_a6_m17", """SELECT split, count(*) AS rows FROM (SELECT CASE WHEN b < 64 THEN 'train'

@@ -54,6 +54,11 @@ def fit(kind: str, train: DataFrame, features=tuple(fixed.MODEL_FEATURES), **par
         train.select(*columns).withColumn(LABELS[kind], F.col(LABELS[kind]).cast("double")))
 
 
+def fitted_params(model: PipelineModel) -> dict:
+    """What a model was fitted with, of all parameters a search may set."""
+    return {n: model.stages[-1].getOrDefault(n) for n in fixed.FULL_GRID}
+
+
 def candidate_params(stage_, quick: bool = True, method: str = "random",
                      samples: int = fixed.SEARCH_SAMPLES, grid: dict | None = None,
                      seed: int = fixed.SEED) -> list[dict]:

@@ -69,7 +69,7 @@ def train(table: DataFrame, key: str, tune: bool = True, params: dict | None = N
             described.append((kind, "best_cv_score", "best_cv_score", repr(float(score))))
         else:
             model = models.fit(kind, rows_train, **(params or {}))
-            described += [(kind, "best_params", n, json.dumps(v)) for n, v in (params or {}).items()]
+            described += [(kind, "best_params", n, json.dumps(v)) for n, v in models.fitted_params(model).items()]
         fitted[kind] = model
         metrics = models.test_metrics(kind, model, rows_test)
         measured = metrics if measured is None else measured.unionByName(metrics)

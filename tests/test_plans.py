@@ -4,8 +4,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from edgetide.checks.models import _bundle, model_listing
+from edgetide.functions import fixed_values as fixed
 from edgetide.functions import paths
-from edgetide.operators import cleaning, trace
+from edgetide.operators import cleaning, models, trace
 
 
 def plan(df):
@@ -47,3 +49,14 @@ def test_look_ahead_over_blocks_without_lambdas(spark):
             assert r.future_reuse_prob == min(prob, 1.0)
             assert r.next_access_distance == (gaps[0] if gaps else 3 * window)
             assert r.will_be_accessed_in_n == int(bool(gaps) and gaps[0] <= window)
+
+
+def test_listing_of_whole_fits(spark):
+    """The listed models were fitted with the estimator's own parameters, and all of those are listed."""
+    sf = "/root/testdata/sf0.001"
+    listed = {(r.model, r.name): r.value for r in model_listing(spark, sf).filter("kind = 'best_params'").collect()}
+    assert set(listed) == {(kind, n) for kind in models.LABELS for n in fixed.FULL_GRID}
+    for kind, model in _bundle(spark, sf).models.items():
+        stage = models.estimator(kind)
+        assert model.stages[-1].getNumTrees == stage.getMaxIter() == int(listed[kind, "maxIter"])
+        assert int(listed[kind, "maxDepth"]) == stage.getMaxDepth()
