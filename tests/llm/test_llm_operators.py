@@ -121,8 +121,9 @@ def test_decontamination_bitmap_grows(spark):
     assert decontaminate.bits_for(0) == 1 << 22 and decontaminate.bits_for(1 << 40) == decontaminate.MOST_BITS
 
 
-def test_rows_without_shuffles_few(spark, docs):
+def test_rows_without_shuffles_few(spark):
     """Rows that are no hits are not shuffled; null ids, null texts and repeated rows count."""
+    docs = tables.frame(spark, ROWS)
     keyed = docs.select(F.col("doc_id").alias("hit_id"), flow.text_key().alias("hit_key"))
     hits = Tables(spark).stage(keyed.filter("hit_id is null or hit_id % 5 = 0").distinct(), "hits")
     with flow.settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
